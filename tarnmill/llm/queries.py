@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .packing import op8_packing
 from .secret_scan import op9_secrets
 from .token_counts import op3_token_counts
+from .toxicity import op4_toxicity
+from .url_filter import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op9_secrets, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op5_url_filter, op8_packing, op9_secrets, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
