@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rows
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 LEVELS = 3
 SUPPORT, SHARE = 5, 0.02
@@ -62,7 +64,8 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes (host, s0..s2, n, labelled, blocked) with g0..g2: each segment or its wildcard."""
+    """shapes (host, s0..s2, n, labelled, blocked) with g0..g2: each segment or its wildcard. Every level reads the one
+    before several times, so each is written out; else plans double from level to level."""
     out = shapes
     for k in range(LEVELS):
         s, parent = f"s{k}", ["host", *[f"g{i}" for i in range(k)]]
@@ -70,7 +73,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         total = child.groupBy(*parent).agg(F.sum("own").alias("all"))
         kept = _joined(child, total, parent, "inner").where((F.col("own") >= F.greatest(F.lit(SUPPORT), F.col("all") * SHARE)) & F.col(s).isNotNull())
         out = _joined(out, kept.select(*parent, s, F.lit(True).alias("kept")), [*parent, s])
-        out = out.withColumn(f"g{k}", F.when(F.col("kept") | F.col(s).isNull(), F.col(s)).otherwise(F.lit("*"))).drop("kept")
+        out = rows.stored(out.withColumn(f"g{k}", F.when(F.col("kept") | F.col(s).isNull(), F.col(s)).otherwise(F.lit("*"))).drop("kept"), "url-templates")
     return out
 
 
@@ -96,8 +99,8 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", page_id: str = "page
     names = [f"s{k}" for k in range(LEVELS)]
     p = p.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("ruled"), *[s.alias(n) for s, n in zip(_segments(F.col("path")), names, strict=True)])
     shapes = p.groupBy("host", *names).agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    tree = templates(shapes)
-    tree = _joined(tree, merged(tree), ["host", "g0"]).withColumn("branch", F.coalesce("branch", "g0"))
+    tree = templates(rows.stored(shapes, "url-shapes"))
+    tree = rows.stored(_joined(tree, merged(tree), ["host", "g0"]).withColumn("branch", F.coalesce("branch", "g0")), "url-branches")
     share = (F.sum("blocked") + PRIOR * WEIGHT) / (F.sum("labelled") + WEIGHT)
     group = tree.groupBy("host", "branch", "g1", "g2").agg(F.when(share >= REJECT, "block").otherwise("allow").alias("judged"))
     tree = _joined(tree, group, ["host", "branch", "g1", "g2"])
