@@ -1,7 +1,10 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
-A document's set of shingle hashes is hashed into ``GROUPS`` groups; the counts per group are a point,
-and two sets share at most the sum of their coordinates' minima. An R-tree over points bounds a whole
+A document's set of shingle hashes is hashed into groups; the counts per group are a point, and two sets
+share at most the sum of their coordinates' minima. There are at least ``GROUPS`` groups, and as many as
+keep the mean count at ``MEAN`` or less: were it larger, any two long texts of one length would have
+nearly equal points. Group numbers are powers of two, so points of different length compare after
+folding the longer. An R-tree over points bounds a whole
 box by the minima with its upper corner, so boxes and pairs whose bound misses the threshold are never
 looked at, and what survives is verified on the sets.
 
@@ -40,7 +43,7 @@ from .components import components
 
 WIDTH = 4
 NUM, DEN = 85, 100  # similarity
-GROUPS = 64
+GROUPS, MEAN = 64, 8
 BLOCK = 4096
 LEAF, FAN = 32, 16
 U = np.uint64
@@ -87,7 +90,19 @@ def keys(hashes: np.ndarray) -> np.ndarray:
 
 def point(hashes: np.ndarray) -> np.ndarray:
     """Counts by group; groups come from other bits than cells."""
-    return np.bincount((hashes & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    groups = max(GROUPS, 1 << (max(1, len(hashes) // MEAN) - 1).bit_length())
+    return np.bincount((hashes & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """The point that ``groups`` groups would have given."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def alike(points: list[np.ndarray]) -> np.ndarray:
+    """One matrix of points, all folded to the shortest."""
+    groups = min(map(len, points))
+    return np.stack([folded(p, groups) for p in points])
 
 
 def sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -277,20 +292,24 @@ SMALL = 6
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the nodes of one task whose bounds pass: small groups in bulk, others by tree."""
     for t, begins in _groups(batches):
-        points = np.frombuffer(b"".join(t["point"].to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+        raw = [np.frombuffer(x, dtype=np.int32) for x in t["point"].to_pylist()]
         sizes, ids, part = t["n"].to_numpy(), t["node"].to_numpy(), t["part"].to_numpy()
-        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(ids)]))
         width = np.diff(np.r_[begins, len(ids)])
+        least = np.minimum.reduceat(np.array([len(p) for p in raw]), begins)  # groups of a task's shortest point
         a, b = [], []
-        for k in range(1, SMALL):
-            i = np.flatnonzero((group[k:] == group[:-k]) & (width[group[k:]] <= SMALL)) if len(ids) > k else np.zeros(0, int)
-            j = i + k
-            fits = (DEN + NUM) * np.minimum(points[i], points[j]).sum(axis=1) >= NUM * (sizes[i] + sizes[j])
-            a.append(ids[i[fits]])
-            b.append(ids[j[fits]])
+        for groups in np.unique(least[width <= SMALL]):
+            some = np.flatnonzero((least == groups) & (width <= SMALL))
+            rows_ = np.concatenate([np.arange(begins[g], begins[g] + width[g]) for g in some])
+            task, points = np.repeat(some, width[some]), np.stack([folded(raw[i], groups) for i in rows_])
+            for k in range(1, SMALL):
+                i = np.flatnonzero(task[k:] == task[:-k]) if len(task) > k else np.zeros(0, int)
+                j = i + k
+                fits = (DEN + NUM) * np.minimum(points[i], points[j]).sum(axis=1) >= NUM * (sizes[rows_[i]] + sizes[rows_[j]])
+                a.append(ids[rows_[i[fits]]])
+                b.append(ids[rows_[j[fits]]])
         for g in np.flatnonzero(width > SMALL):
             at = slice(begins[g], begins[g] + width[g])
-            links = united(points[at], sizes[at], block=part[at] if part[at].min() != part[at].max() else None)
+            links = united(alike(raw[at]), sizes[at], block=part[at] if part[at].min() != part[at].max() else None)
             a.append(ids[at][[x for x, _ in links]])
             b.append(ids[at][[y for _, y in links]])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -305,7 +324,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part, raw = t["node"].to_numpy(), t["part"].to_numpy(), t["hashes"].to_pylist()
         for lo, hi in zip(begins, [*begins[1:], len(ids)], strict=True):
             every = [np.frombuffer(x, dtype=U) for x in raw[lo:hi]]
-            points, sizes = np.array([point(h) for h in every]), np.array([len(h) for h in every])
+            points, sizes = alike([point(h) for h in every]), np.array([len(h) for h in every])
             blocks = part[lo:hi] if part[lo:hi].min() != part[lo:hi].max() else None
             links = united(points, sizes, lambda i, j, e=every: linked(e[i], e[j]), blocks)
             if links:
@@ -318,7 +337,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK)
     pairs = nodes.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     shared = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
     points = nodes.where(F.col("point").isNotNull()).dropDuplicates(["node"]).select("node", "n", "point")
-    # within BLOCK rows a key's points are held whole; 4 * 64 bytes a row
     dealt = _blocked(rows.stored(shared, "jaccard-keys"), "key", block * 8).join(points, "node")
     bounded = dealt.select("task", "part", "node", "n", "point").repartition("task").sortWithinPartitions("task", "n").mapInArrow(_bounded, "a long, b long")
     clusters = components(bounded)

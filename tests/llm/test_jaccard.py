@@ -39,7 +39,7 @@ def corpus(n, seed):
     vocab = [f"W{i}é" if i % 7 else f"w{i}" for i in range(400)]
     out = []
     while len(out) < n:
-        base = r.choices(vocab, k=r.choice([1, 2, 3, 4, 5, 6, 9, 15, 30, 60, 120, 300]))
+        base = r.choices(vocab, k=r.choice([1, 2, 3, 4, 5, 6, 9, 15, 30, 60, 120, 300, 900]))
         for _ in range(r.choice([1, 1, 2, 6])):
             w = list(base)
             for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
@@ -75,12 +75,18 @@ def test_tree_bounds_lose_no_link():
     r = np.random.default_rng(7)
     base = [np.unique(r.integers(0, 2**63, 80).astype(np.uint64)) for _ in range(12)]
     every = [np.unique(np.concatenate([b[r.random(len(b)) > 0.04], r.integers(0, 2**63, r.integers(0, 4)).astype(np.uint64)])) for b in base for _ in range(60)]
-    points, sizes = np.array([J.point(h) for h in every]), np.array([len(h) for h in every])
+    points, sizes = J.alike([J.point(h) for h in every]), np.array([len(h) for h in every])
     tree = J.RTree(points, sizes)
     for i in range(0, len(every), 37):
         assert {j for j in range(len(every)) if J.linked(every[i], every[j])} <= set(tree.candidates(points[i], sizes[i]).tolist())
 
 
+def test_points_fold():
+    r = np.random.default_rng(11)
+    h = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64))
+    assert len(J.point(h)) == 1024 and (J.folded(J.point(h), 64) == np.bincount((h & np.uint64(63)).astype(int), minlength=64)).all()
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(-50, 200), r.randrange(-50, 200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)]
