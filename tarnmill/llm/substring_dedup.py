@@ -37,7 +37,7 @@ from .arrow_text import Words, mix, words
 WINDOW, GRAM = 20, 8
 BITS, HOT_BITS = 1 << 27, 1 << 22
 HOT = 4096
-PHRASES = 20_000
+PHRASES = 8_000
 U = np.uint64
 NO_ID = -(2**63)
 
