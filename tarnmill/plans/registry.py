@@ -24,4 +24,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return add
 
 
-from . import content, graphs, logs, pages  # noqa: E402,F401  registers on import
+from . import content, graphs, html, logs, pages  # noqa: E402,F401  registers on import
