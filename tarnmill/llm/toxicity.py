@@ -28,8 +28,8 @@ from . import rows
 
 SAMPLE = 20_000
 ENTRIES = 3_000
-MIN_DOCS = 4
-MIN_WEIGHT = 2.5
+MIN_DOCS, MIN_SHARE = 2, 0.008  # toxic texts that an entry needs: so many, and such a share of all
+MIN_WEIGHT = 3.0
 STEMS = (4, 5, 6)
 
 #: Letters that look like Latin ones, and signs that stand for letters.
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     if not bad or not good:
         return Lexicon({})
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    top = _counted(chosen, lambda t: _entries(fold(t))).where(F.col("bad") >= MIN_DOCS).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
+    top = _counted(chosen, lambda t: _entries(fold(t))).where(F.col("bad") >= max(MIN_DOCS, math.ceil(MIN_SHARE * bad))).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
     lexicon = Lexicon({r.feature: r.weight for r in top.orderBy(F.desc("weight"), F.desc("bad"), "feature").limit(ENTRIES).collect()})
     shared = spark.sparkContext.broadcast(lexicon)
 
