@@ -8,7 +8,7 @@ weights and its rate per hundred words go through a logistic curve fitted on the
 
 The fit reads a sample of labelled rows of bounded size (``SAMPLE``, the least by hash); scoring reads
 every row and whole texts. Null counts as empty; an empty text has no hit and gets the curve's value
-for none. Repeated rows are scored each.
+for none. Repeated rows are scored each; of labels that contradict each other 1 counts.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Learns from labelled rows that are not held out; without both labels the lexicon is empty and scores stay low."""
     spark = docs.sparkSession
-    some = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = rows.stored(rows.texts(docs).join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxicity")
     n = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
