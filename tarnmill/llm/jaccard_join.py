@@ -21,7 +21,7 @@ Steps: (1) sets that are equal become one node; (2) keys with one node go; (3) i
 nodes whose bound passes are united, and a spanning forest of them leaves; (4) the forests' components
 are small clusters, to which the sets are dealt; (5) each cluster's tree verifies pairs on the sets
 and skips pairs already united; (6) components of the verified links. Keys and clusters of more than
-``BLOCK`` nodes are cut into blocks, and each pair of blocks is a task's work, so no group is
+``BLOCK`` nodes, and clusters of more than ``BLOCK_BYTES`` of sets, are cut into blocks, and each pair of blocks is a task's work, so no group is
 collected whole; no pair is dropped. Hashes have 64 bits; a node is told by hash and size.
 
 Texts: null, empty or without words: empty set, linked with nothing. Rows that repeat have equal sets
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rows
@@ -44,7 +44,7 @@ from .components import components
 WIDTH = 4
 NUM, DEN = 85, 100  # similarity
 GROUPS, MEAN = 64, 8
-BLOCK = 4096
+BLOCK, BLOCK_BYTES = 4096, 1 << 25
 LEAF, FAN = 32, 16
 U = np.uint64
 
@@ -256,10 +256,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": key, "node": last})
 
 
-def _blocked(df: DataFrame, by: str, block: int) -> DataFrame:
-    """df with a column ``task``: rows of a small group share one; a row of a group of more than ``block`` rows has one copy for
-    each pair of blocks that its block is in, with ``part`` its block."""
-    big = df.groupBy(by).count().where(F.col("count") > block).select(F.col(by).alias("_by"), F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
+def _blocked(df: DataFrame, by: str, block: int, size: Column | None = None) -> DataFrame:
+    """df with a column ``task``: rows of a small group share one; a row of a group of more than ``block`` rows, or of more than
+    BLOCK_BYTES in all, has one copy for each pair of blocks that its block is in, with ``part`` its block."""
+    total = df.groupBy(by).agg(F.count("*").alias("_n"), F.sum(F.lit(0) if size is None else size).alias("_b"))
+    blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int")
+    big = total.select(F.col(by).alias("_by"), blocks.alias("_blocks")).where(F.col("_blocks") > 1)
     out = df.join(big, F.col(by) == F.col("_by"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     out = out.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -337,13 +339,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK)
     pairs = nodes.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     shared = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
     points = nodes.where(F.col("point").isNotNull()).dropDuplicates(["node"]).select("node", "n", "point")
-    dealt = _blocked(rows.stored(shared, "jaccard-keys"), "key", block * 8).join(points, "node")
+    dealt = _blocked(rows.stored(shared, "jaccard-keys"), "key", block * 2).join(points, "node")
     bounded = dealt.select("task", "part", "node", "n", "point").repartition("task").sortWithinPartitions("task", "n").mapInArrow(_bounded, "a long, b long")
     clusters = components(bounded)
     one = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"), F.min("n").alias("n"))
     chosen = clusters.join(one, "node").select("node", "root", "doc_id")
     found = rows.stored(_sets_of(docs, chosen, width), "jaccard-sets")
-    tasks = _blocked(found, "root", block).select("task", "part", "node", "hashes").repartition("task").sortWithinPartitions("task", "node")
+    tasks = _blocked(found, "root", block, F.octet_length("hashes")).select("task", "part", "node", "hashes").repartition("task").sortWithinPartitions("task", "node")
     links = components(tasks.mapInArrow(_verified, "a long, b long"))
     least = one.join(links, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = links.join(least, "root").select(F.col("node").alias("_node"), "component_id")
