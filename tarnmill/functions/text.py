@@ -28,9 +28,9 @@ def syllable_count(t: Column) -> Column:
 
 
 def grade(words: Column, sentence_count: Column, syllable_total: Column) -> Column:
-    """Flesch-Kincaid grade; null without words."""
+    """Flesch-Kincaid grade, two decimals, halves up (a hair is added, as sums in another order end a hair off); null without words."""
     g = 0.39 * (words / sentence_count) + 11.8 * (syllable_total / words) - 15.59
-    return F.when(words > 0, F.round(g, 2))
+    return F.when(words > 0, F.floor(g * 100 + 0.5000001) / 100)
 
 
 def tokens(t: Column, stop: Column) -> Column:

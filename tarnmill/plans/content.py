@@ -163,7 +163,7 @@ _FIELDS = "list_filter(regexp_split_to_array({t}, '[\\s\\x{{85}}\\x{{a0}}]+'), l
 
 @query(f"""WITH w AS (SELECT doc_id, text, {_FIELDS.format(t='lower(text)')} AS ws FROM documents),
 s AS (SELECT doc_id, len(ws) AS words, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS sentences, list_sum(list_transform(ws, lambda x: CASE WHEN strlen(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(x, 'e$', ''), '[aeiouy]+'))) END)) AS syllables FROM w)
-SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sentences AS INTEGER) AS sentences, CAST(syllables AS INTEGER) AS syllables, CASE WHEN words > 0 THEN round(0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59, 2) END AS grade FROM s WHERE words > 0""")
+SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sentences AS INTEGER) AS sentences, CAST(syllables AS INTEGER) AS syllables, CASE WHEN words > 0 THEN floor((0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59) * 100 + 0.5000001) / 100 END AS grade FROM s WHERE words > 0""")
 def text_readability(spark, sf_dir):
     t = F.col("text")
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(T.fields(t)).alias("words"), T.sentences(t).alias("sentences"), T.syllable_count(t).alias("syllables"))
