@@ -67,24 +67,38 @@ GENERIC = ("bot/", "spider", "crawler", "scraper")
 OTHER = ("", "Other Bot", "other_bot")
 
 
-def _first(user_agent: Column, what: int) -> Column:
-    ua = F.lower(user_agent)
+def signature(lowered: Column) -> Column:
+    """Place of the first signature that a lower-cased user agent contains, len(SIGNATURES) for other crawlers, else null.
+    One chain, evaluated once a row: name and category are looked up by place."""
     generic = F.lit(False)
     for word in GENERIC:
-        generic = generic | F.contains(ua, F.lit(word))
-    out = F.when(generic, OTHER[what])
-    for s in reversed(SIGNATURES):
-        out = F.when(F.contains(ua, F.lit(s[0])), s[what]).otherwise(out)
-    return out
+        generic = generic | F.contains(lowered, F.lit(word))
+    out = None
+    for i, s in enumerate(SIGNATURES):
+        hit = F.contains(lowered, F.lit(s[0]))
+        out = F.when(hit, i) if out is None else out.when(hit, i)
+    return out.when(generic, len(SIGNATURES))
+
+
+def _at(place: Column, what: int) -> Column:
+    return F.get(F.array(*[F.lit(s[what]) for s in (*SIGNATURES, OTHER)]), place)
+
+
+def name_at(place: Column) -> Column:
+    return _at(place, 1)
+
+
+def category_at(place: Column) -> Column:
+    return _at(place, 2)
 
 
 def bot_name(user_agent: Column) -> Column:
     """Name of the first signature that the user agent contains; null for others."""
-    return _first(user_agent, 1)
+    return name_at(signature(F.lower(user_agent)))
 
 
 def bot_category(user_agent: Column) -> Column:
-    return _first(user_agent, 2)
+    return category_at(signature(F.lower(user_agent)))
 
 
 def category_of(name: Column) -> Column:

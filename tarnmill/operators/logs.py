@@ -27,8 +27,11 @@ TOP_URLS = 500
 
 
 def with_bot(hits: DataFrame) -> DataFrame:
-    ua = F.col("user_agent")
-    return hits.withColumns({"bot": bots.bot_name(ua), "category": bots.bot_category(ua), "mobile": F.coalesce(bots.is_mobile(ua) & (bots.bot_category(ua) == "search_engine"), F.lit(False))})
+    """Adds bot, category and mobile (search engines only). Each step is a projection of its own, so the chain of signatures
+    stands in the plan once."""
+    out = hits.withColumn("_ua", F.lower(F.coalesce("user_agent", F.lit("")))).withColumn("_at", bots.signature(F.col("_ua")))
+    out = out.withColumns({"bot": bots.name_at(F.col("_at")), "category": bots.category_at(F.col("_at"))})
+    return out.withColumn("mobile", F.coalesce(F.contains("_ua", F.lit("mobile")) & (F.col("category") == "search_engine"), F.lit(False))).drop("_ua", "_at")
 
 
 def status_group(status: Column) -> Column:
