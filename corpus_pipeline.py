@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 from tarnmill.llm import jaccard_join, packing, rows, secret_scan, substring_dedup, toxicity
 
 
+#: Near duplicates of the stage: shingles of five words, similarity 0.8. op1 alone has four words and 0.85.
+WIDTH, NUM, DEN = 5, 80, 100
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, width=WIDTH, num=NUM, den=DEN)
     gone = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
     gone = gone.select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_out")).distinct()
     out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left")

@@ -10,11 +10,11 @@ looked at, and what survives is verified on the sets.
 
 Random texts of one length all have nearly the same point, so one tree over everything would prune
 little. Points are therefore dealt to small trees by keys that lose no link: two sets that link differ
-in at most ``d`` = 15/185 of their sizes' sum elements; cut the hash space into more than ``d`` cells,
+in at most ``d`` = (1 - s) / (1 + s) of their sizes' sum elements at similarity s (15/185 at 0.85); cut the hash space into more than ``d`` cells,
 and at least one cell's content is the same in both. The key is that content's hash, with the size
 class that fixes the number of cells; a set near a class's end has keys of the next class too. Cells
 empty in both prove nothing, so there are more cells than d + 1, and a set with more empty cells than
-that margin has prefix keys besides: the least (1 - 0.85) n + 1 of its hashes, one of which any two
+that margin has prefix keys besides: the least (1 - s) n + 1 of its hashes, one of which any two
 such sets share.
 
 Steps: (1) sets that are equal become one node; (2) keys with one node go; (3) in each key's tree,
@@ -42,11 +42,12 @@ from .arrow_text import mix, shingles, words
 from .components import components
 
 WIDTH = 4
-NUM, DEN = 85, 100  # similarity
+NUM, DEN = 85, 100  # similarity of op1; others pass num and den
 GROUPS, MEAN = 64, 8
 BLOCK, BLOCK_BYTES = 4096, 1 << 25
 LEAF, FAN = 32, 16
 U = np.uint64
+KINDS = {1: np.uint8, 2: np.uint16, 4: np.int32}  # of a stored point, by bytes a count
 
 
 def _classes(limit: int = 1 << 40) -> np.ndarray:
@@ -60,31 +61,31 @@ def _classes(limit: int = 1 << 40) -> np.ndarray:
 CLASSES = _classes()
 
 
-def differing(total: int) -> int:
+def differing(total: int, num: int = NUM, den: int = DEN) -> int:
     """The most elements by which two linked sets can differ, if their sizes sum to total."""
-    return (DEN - NUM) * total // (DEN + NUM)
+    return (den - num) * total // (den + num)
 
 
-def cells(level: int) -> tuple[int, int]:
+def cells(level: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
     """(number of cells, most empty cells that prove nothing) of a size class."""
-    d = differing(2 * (int(CLASSES[level + 1]) - 1))
+    d = differing(2 * (int(CLASSES[level + 1]) - 1), num, den)
     spare = 0 if d == 0 else max(1, -(-15 * d // 100))
     return d + 1 + spare, spare
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
+def keys(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The keys of one set (sorted distinct hashes)."""
     n, out = len(hashes), []
     first = int(np.searchsorted(CLASSES, n, side="right")) - 1
-    last = int(np.searchsorted(CLASSES, n * DEN // NUM, side="right")) - 1
+    last = int(np.searchsorted(CLASSES, n * den // num, side="right")) - 1
     mixed = mix(hashes ^ U(0x5851F42D4C957F2D))
     for level in range(first, last + 1):
-        count, spare = cells(level)
+        count, spare = cells(level, num, den)
         cell = ((hashes >> U(32)) * U(count)) >> U(32)  # rises with the hash, so cells are runs
         at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         out.append(mix(np.add.reduceat(mixed, at) + cell[at] * U(0x9E3779B97F4A7C15) + U((level + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)))
         if count - len(at) > spare:
-            out.append(mix(hashes[: n - -(-NUM * n // DEN) + 1] + U((level + 1) * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF)))
+            out.append(mix(hashes[: n - -(-num * n // den) + 1] + U((level + 1) * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out)
 
 
@@ -94,9 +95,20 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def stored_point(hashes: np.ndarray) -> bytes:
+    """The point in as few bytes as its counts need; the first byte tells how many each has."""
+    p = point(hashes)
+    kind = np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int32
+    return bytes([kind().itemsize]) + p.astype(kind).tobytes()
+
+
+def read_point(b: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(b, dtype=KINDS[np.frombuffer(b, np.uint8, 1)[0]], offset=1)
+
+
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
     """The point that ``groups`` groups would have given."""
-    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+    return p.astype(np.int32, copy=False) if len(p) == groups else p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def alike(points: list[np.ndarray]) -> np.ndarray:
@@ -153,7 +165,8 @@ class Union:
 class RTree:
     """Points sorted by size, then packed bottom-up; a box keeps its upper corner and its range of sizes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         # Sort-tile order: by size, then, in runs of FAN leaves, by the widest coordinate.
         order = np.argsort(sizes, kind="stable")
         for at in range(0, len(order), LEAF * FAN):
@@ -172,11 +185,12 @@ class RTree:
 
     def candidates(self, p: np.ndarray, n: int) -> np.ndarray:
         """Indices of points whose bound allows a link with point p of size n."""
+        num, den = self.num, self.den
         at = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
             high, small, large, step = self.levels[k]
             shared = np.minimum(high[at], p).sum(axis=1)
-            fits = ((DEN + NUM) * shared >= NUM * (n + small[at])) & (DEN * large[at] >= NUM * n) & (NUM * small[at] <= DEN * n)
+            fits = ((den + num) * shared >= num * (n + small[at])) & (den * large[at] >= num * n) & (num * small[at] <= den * n)
             at = at[fits]
             below = len(self.levels[k - 1][0]) if k else len(self.points)
             at = (at[:, None] * step + np.arange(step)).ravel()
@@ -184,12 +198,12 @@ class RTree:
         if not len(at):
             return at
         shared = np.minimum(self.points[at], p).sum(axis=1)
-        return self.order[at[(DEN + NUM) * shared >= NUM * (n + self.sizes[at])]]
+        return self.order[at[(den + num) * shared >= num * (n + self.sizes[at])]]
 
 
-def united(points: np.ndarray, sizes: np.ndarray, verify=None, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+def united(points: np.ndarray, sizes: np.ndarray, verify=None, block: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
     """Spanning links of the points whose bound passes and that verify, if given, accepts. With two blocks only pairs across count."""
-    tree, union, out = RTree(points, sizes), Union(len(points)), []
+    tree, union, out = RTree(points, sizes, num, den), Union(len(points)), []
     for i in range(len(points)):
         found = tree.candidates(points[i], int(sizes[i]))
         found = found[found > i]
@@ -204,13 +218,13 @@ def united(points: np.ndarray, sizes: np.ndarray, verify=None, block: np.ndarray
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 85 * union."""
+def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
+    """den * intersection >= num * union."""
     both = len(a) + len(b) - len(np.union1d(a, b))
-    return (DEN + NUM) * both >= NUM * (len(a) + len(b))
+    return (den + num) * both >= num * (len(a) + len(b))
 
 
-def _nodes(docs: DataFrame, width: int) -> DataFrame:
+def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n, node, point and keys of every row; an empty set has no node."""
 
     def fn(batch):
@@ -223,8 +237,8 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
             "doc_id": batch.column("doc_id"),
             "n": [len(h) for h in every],
             "node": pa.array(ids, pa.int64()),
-            "point": pa.array([point(h).tobytes() if f else None for h, f in zip(every, fresh, strict=True)], pa.binary()),
-            "keys": pa.array([keys(h).view(np.int64) if f else None for h, f in zip(every, fresh, strict=True)], pa.list_(pa.int64())),
+            "point": pa.array([stored_point(h) if f else None for h, f in zip(every, fresh, strict=True)], pa.binary()),
+            "keys": pa.array([keys(h, num, den).view(np.int64) if f else None for h, f in zip(every, fresh, strict=True)], pa.list_(pa.int64())),
         }
 
     return rows.map_batches(rows.texts(docs), fn, "doc_id long, n long, node long, point binary, keys array<long>")
@@ -291,10 +305,10 @@ def _groups(batches: Iterator[pa.RecordBatch], small: int = 1 << 14) -> Iterator
 SMALL = 6
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Links of the nodes of one task whose bounds pass: small groups in bulk, others by tree."""
     for t, begins in _groups(batches):
-        raw = [np.frombuffer(x, dtype=np.int32) for x in t["point"].to_pylist()]
+        raw = [read_point(x.as_buffer()) for x in t["point"].combine_chunks()]
         sizes, ids, part = t["n"].to_numpy(), t["node"].to_numpy(), t["part"].to_numpy()
         width = np.diff(np.r_[begins, len(ids)])
         least = np.minimum.reduceat(np.array([len(p) for p in raw]), begins)  # groups of a task's shortest point
@@ -306,12 +320,12 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(1, SMALL):
                 i = np.flatnonzero(task[k:] == task[:-k]) if len(task) > k else np.zeros(0, int)
                 j = i + k
-                fits = (DEN + NUM) * np.minimum(points[i], points[j]).sum(axis=1) >= NUM * (sizes[rows_[i]] + sizes[rows_[j]])
+                fits = (den + num) * np.minimum(points[i], points[j]).sum(axis=1) >= num * (sizes[rows_[i]] + sizes[rows_[j]])
                 a.append(ids[rows_[i[fits]]])
                 b.append(ids[rows_[j[fits]]])
         for g in np.flatnonzero(width > SMALL):
             at = slice(begins[g], begins[g] + width[g])
-            links = united(alike(raw[at]), sizes[at], block=part[at] if part[at].min() != part[at].max() else None)
+            links = united(alike(raw[at]), sizes[at], block=part[at] if part[at].min() != part[at].max() else None, num=num, den=den)
             a.append(ids[at][[x for x, _ in links]])
             b.append(ids[at][[y for _, y in links]])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -320,33 +334,33 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of one cluster, or of two blocks of it, verified on the sets."""
     for t, begins in _groups(batches, 256):
-        ids, part, raw = t["node"].to_numpy(), t["part"].to_numpy(), t["hashes"].to_pylist()
+        ids, part, raw = t["node"].to_numpy(), t["part"].to_numpy(), t["hashes"].combine_chunks()
         for lo, hi in zip(begins, [*begins[1:], len(ids)], strict=True):
-            every = [np.frombuffer(x, dtype=U) for x in raw[lo:hi]]
+            every = [np.frombuffer(x.as_buffer(), dtype=U) for x in raw[int(lo) : int(hi)]]  # no copy
             points, sizes = alike([point(h) for h in every]), np.array([len(h) for h in every])
             blocks = part[lo:hi] if part[lo:hi].min() != part[lo:hi].max() else None
-            links = united(points, sizes, lambda i, j, e=every: linked(e[i], e[j]), blocks)
+            links = united(points, sizes, lambda i, j, e=every: linked(e[i], e[j], num, den), blocks, num, den)
             if links:
                 yield pa.RecordBatch.from_pydict({"a": ids[lo:hi][[x for x, _ in links]], "b": ids[lo:hi][[y for _, y in links]]})
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    nodes = rows.stored(_nodes(docs, width), "jaccard")
+def jaccard_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text); shingles of ``width`` words, similarity num / den."""
+    nodes = rows.stored(_nodes(docs, width, num, den), "jaccard")
     pairs = nodes.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     shared = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
     points = nodes.where(F.col("point").isNotNull()).dropDuplicates(["node"]).select("node", "n", "point")
     dealt = _blocked(rows.stored(shared, "jaccard-keys"), "key", block * 2).join(points, "node")
-    bounded = dealt.select("task", "part", "node", "n", "point").repartition("task").sortWithinPartitions("task", "n").mapInArrow(_bounded, "a long, b long")
+    bounded = dealt.select("task", "part", "node", "n", "point").repartition("task").sortWithinPartitions("task", "n").mapInArrow(lambda batches: _bounded(batches, num, den), "a long, b long")
     clusters = components(bounded)
     one = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"), F.min("n").alias("n"))
     chosen = clusters.join(one, "node").select("node", "root", "doc_id")
     found = rows.stored(_sets_of(docs, chosen, width), "jaccard-sets")
     tasks = _blocked(found, "root", block, F.octet_length("hashes")).select("task", "part", "node", "hashes").repartition("task").sortWithinPartitions("task", "node")
-    links = components(tasks.mapInArrow(_verified, "a long, b long"))
+    links = components(tasks.mapInArrow(lambda batches: _verified(batches, num, den), "a long, b long"))
     least = one.join(links, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = links.join(least, "root").select(F.col("node").alias("_node"), "component_id")
     lone = one.select(F.col("node").alias("_node"), F.col("doc_id").alias("own"))
