@@ -89,7 +89,8 @@ def _vectors(spark, sf_dir):
 (SELECT src, dst, similarity, 'weak' AS kind FROM s WHERE similarity < 0.15 ORDER BY similarity, src, dst LIMIT 50) UNION ALL (SELECT src, dst, similarity, 'strong' AS kind FROM s WHERE similarity > 0.6 ORDER BY similarity DESC, src, dst LIMIT 50)""")
 def vector_semantic_links(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return G.semantic_links(v.where("id < 500").select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 500).alias("dst")), v)
+    n = v.agg(F.count("*").alias("_n"))  # one row
+    return G.semantic_links(v.crossJoin(F.broadcast(n)).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % F.col("_n")).alias("dst")).distinct(), v)
 
 
 @query(None)
