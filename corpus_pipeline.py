@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 again as the next one's docs. All but the last return the columns of documents.
 
 toxicity: rows whose text scores one half or more go. ngram_jaccard_join: of each component of
-documents that link, the least doc_id stays, and of rows that repeat a doc_id all that stay in it;
-texts without words link with nothing and stay. substring_dedup: words of passages that start earlier
+documents that link exactly one row stays, that of the least doc_id (null last; then by a hash of its
+text); texts without words link with nothing and stay. substring_dedup: words of passages that start earlier
 elsewhere go from the text. secret_scans: secrets in the text become a mark. packing: pieces of
 sequences. n_chars follows the text wherever it changes.
 """
@@ -27,11 +27,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(docs, width=WIDTH, num=NUM, den=DEN)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_out")).distinct()
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left")
-    return out.where(F.col("_out").isNull()).select(*docs.columns)
+    row = docs.withColumn("_row", F.xxhash64(docs["doc_id"].cast("long"), docs["doc_id"].isNull(), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    found = jaccard_join.jaccard_components(row.select(F.col("_row").alias("doc_id"), "text"), width=WIDTH, num=NUM, den=DEN)
+    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("_linked"), F.col("component_id").alias("_component")).distinct()
+    linked = rows.stored(linked, "pipeline-linked")
+    ids = row.groupBy("_row").agg(F.min(F.col("doc_id").cast("long")).alias("_id"), F.count("*").alias("_copies"))
+    order = F.struct(F.col("_id").isNull(), "_id", "_row")
+    least = ids.join(linked, F.col("_row") == F.col("_linked")).groupBy("_component").agg(F.min_by(F.struct("_row", "_copies"), order).alias("_least"))
+    kept = rows.stored(least.select(F.col("_least._row").alias("_kept"), F.col("_least._copies").alias("_copies")), "pipeline-kept")
+    one = row.join(linked.select("_linked"), F.col("_row") == F.col("_linked"), "left").join(kept.where("_copies = 1"), F.col("_row") == F.col("_kept"), "left")
+    one = one.where(F.col("_linked").isNull() | F.col("_kept").isNotNull()).select(*docs.columns)
+    repeated = row.join(kept.where("_copies > 1"), F.col("_row") == F.col("_kept")).groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_one"))
+    return one.unionByName(repeated.select("_one.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

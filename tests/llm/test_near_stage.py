@@ -55,3 +55,14 @@ def test_keys_lose_no_link_at_four_fifths():
             found += not J.linked(a, b)
             assert np.intersect1d(J.keys(a, 80, 100), J.keys(b, 80, 100)).size
     assert found
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(4)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(5000)}" for _ in range(30)) for _ in range(5))
+    data = [(7, a), (None, a), (None, b), (None, c), (None, c), (4, d), (4, e), (3, e), (9, d), (9, d), (None, None), (None, ""), (5, ""), (5, ""), (6, "lone"), (8, b + " x"), (2, "twice"), (2, "twice")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in data], "doc_id long, text string, n_chars long").repartition(3)
+    out = C.jaccard_stage(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    want = [(7, a), (None, c), (4, d), (3, e), (None, None), (None, ""), (5, ""), (5, ""), (6, "lone"), (8, b + " x"), (2, "twice")]
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == sorted(want, key=repr)
