@@ -16,8 +16,9 @@ passages through them: each place found, but for the phrase's first, is to be re
 gathered by document and joined to the texts.
 
 Windows are compared word by word; hashes only deal them out. Texts: null, empty or without words have
-no windows and kept words "". Rows of one doc_id are one document: repeats of a row have the same places
-and get the same answer. A null doc_id comes before all others.
+no windows and kept words "". Repeats of a row, with id and text, are one document: they have the same places
+and get the same answer. Texts without an id are documents of their own and come before all others, by a hash;
+of different texts under one id, that of least hash has the id's place and the others come last.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BITS, HOT_BITS = 1 << 27, 1 << 22
 HOT = 4096
 PHRASES = 8_000
 U = np.uint64
-NO_ID = -(2**63)
+NO_ID, SECOND, SPAN = -(2**63), 2**62, 2**62 - 1  # where the keys of texts without an id, and of second texts of one, begin; what a hash adds at most
 
 
 def _rolling(h: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -238,11 +239,22 @@ def kept_words(text: str, places: list | None, window: int = WINDOW) -> tuple[li
     return [x for x, g in zip(w, gone.tolist(), strict=True) if not g], len(w)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a column ``_key``: doc_id, or for texts without one and for second texts of one a number of their own."""
+    i, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    d = docs.select(i.alias("_id"), F.xxhash64(text).alias("_hash")).where("_id is not null")
+    several = d.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least < _most").select("_id", "_least")
+    several = rows.stored(several, "substring-ids")
+    own = F.xxhash64(i, text).bitwiseAND(F.lit(SPAN))
+    key = F.when(i.isNull(), own + F.lit(NO_ID)).when(F.xxhash64(text) != F.col("_least"), own + F.lit(SECOND)).otherwise(i)
+    return docs.join(several, i == F.col("_id"), "left").withColumn("_key", key).drop("_id", "_least")
+
+
 def _with_places(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     """docs with a column ``_places``."""
-    d = rows.texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = repeats(d, window, gram, hot).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    keyed = _keyed(docs)
+    found = repeats(rows.texts(keyed, "_key"), window, gram, hot).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
+    return keyed.join(found, F.col("_key") == F.col("_doc"), "left").drop("_doc", "_key")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
