@@ -9,11 +9,10 @@ would also be made among those two alone.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Sequence
 
-import tiktoken
-
 PAIR_CACHE = 400_000
 
 
@@ -55,28 +54,54 @@ class Bpe:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._pairs: dict[tuple[int, int], bool] = {}
-        # The library's merge loop over one given piece; the cutting pattern is never used.
-        self._piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def merge(self, piece: bytes) -> list[int]:
         """The merge loop itself: join the leftmost neighbours of least rank, until none has a rank."""
-        parts, rank = [piece[i : i + 1] for i in range(len(piece))], self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        if len(piece) > 64:
+            return self._merge_long(piece)
+        none, rank = len(self.ranks) + 1 << 32, self.ranks.get
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        ranks = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
-    def encode(self, piece: bytes) -> list[int]:
-        """As merge(); a piece that is itself a token goes by the loop, which may not reach that token."""
-        if not piece:
-            return []
-        return self.merge(piece) if piece in self.ranks else self._piece(piece)
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap of (rank, place): time grows with n log n."""
+        n, rank = len(piece), self.ranks.get
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        alive = [True] * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j < n and (r := rank(piece[i : end[j]])) is not None:
+                heapq.heappush(heap, (r, i, end[j]))
+
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or end[j] != stop:
+                continue  # one of the two has been joined since
+            alive[j], end[i], after[i] = False, end[j], after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+    encode = merge
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether token b may follow token a in an encoding."""

@@ -1,6 +1,6 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece is halved until its parts are short, each part is encoded, and neighbours are joined: if the
+A piece is halved until its parts are of two bytes at most, each part is encoded, and neighbours are joined: if the
 last token of the left and the first of the right may stand side by side, the two lists concatenate;
 else the bytes of a window of tokens about the seam are encoded anew, and the window grows on each
 side until its outer token may stand beside the token before (after) it. By bpe's second fact the
@@ -8,7 +8,9 @@ tokens outside are then proved stable. Joining is associative, so the tree may h
 Decoding concatenates byte strings up a tree of the same kind.
 
 Texts: null counts as empty; an empty text has no ids, and its hashes are those of no bytes. Special
-strings are ordinary text.
+strings are ordinary text. A text of any length is encoded whole; a piece of any length costs in
+proportion to its length, as windows stay short. Rows that repeat are encoded each, an empty table gives
+no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import rows
 from .bpe import Bpe, tiktoken_ranks
 from .pretokens import byte_level
 
-LEAF = 16
+LEAF = 2
 DECODE_LEAF = 1024
 PIECES = 300_000
 

@@ -8,8 +8,9 @@ padding either. Ranges are as many as the ids ask for (``RANGE_IDS`` each); a do
 number of sequences.
 
 Texts: null counts as empty, and an empty text is the one closing id. Rows that repeat are packed
-each; rows of one key are ordered by doc_id and ids, and a range may begin between them, so copies
-never need to meet in one task.
+each; rows of one key and doc_id, null ones too, are ordered by the place at which they were written, and a
+range may begin between any two of them, so neither copies nor rows without an id need to meet in one task.
+An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rows
-from .bpe import Bpe, json_ranks
+from .bpe import json_ranks
 from .pretokens import word_level
 
 LENGTH = 4096
@@ -43,7 +45,9 @@ class WordBpe:
 
     def __init__(self, path: str):
         ranks, self.special = json_ranks(path, _END)
-        self.encode_piece, self.cut = Bpe(ranks)._piece, word_level()
+        self.cut = word_level()
+        # The library's merge loop over one given piece; the cutting pattern is never used.
+        self.encode_piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._known: dict[str, bytes] = {}
 
@@ -192,11 +196,11 @@ def _cut(batches):
 
 def packed(docs: DataFrame, path: str, range_ids: int = RANGE_IDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    t = rows.stored(_tokenized(docs, path), "packing")
+    t = rows.stored(_tokenized(docs, path).withColumn("place", F.monotonically_increasing_id()), "packing")
     total = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // range_ids))
-    order = ["key", "doc_id", "ids"]
-    dealt = t.select("key", "doc_id", "ids").repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions(*order)
+    order = ["key", "doc_id", "place"]
+    dealt = t.select(*order, "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(_cut, ", ".join(f"{c} long" for c in COLUMNS))
 
 

@@ -2,26 +2,34 @@
 
 For a piece ``b`` of the cut text, ``last[i]`` is the last token of the encoding of ``b[:i]``: the one
 token ``t`` that ends at ``i`` and may stand after ``last[i - len(t)]`` (see bpe). So one pass gives
-the exact token count of every prefix, and truncation or budget questions need no second encoding.
-Pieces repeat, so each distinct one is solved once per process.
+the exact token count of every prefix, and the counts are kept: a text's table adds them up piece by
+piece, and truncation or budget questions are looked up, not encoded again. Pieces repeat, so each
+distinct one is solved once per process.
+
+Two places of a text are not a prefix of one of its pieces: within a contraction such as 're, whose first
+two characters are two pieces, and within a special string, which is ordinary text until it is whole. There
+the few characters are cut anew.
 
 Texts: null counts as empty, an empty text has 0 tokens; special strings inside a text are one token
-each, as the library does by default. A text of any length is read whole.
+each, as the library does by default. A text of any length is read whole; a piece of n bytes costs in
+proportion to n. Rows that repeat are kept, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import rows
 from .bpe import Bpe, json_ranks
 from .pretokens import byte_level
 
-PIECES = 300_000
+PIECES = 200_000  # distinct pieces that a process remembers; when full, it begins anew
 
 
 class PrefixCounter:
@@ -32,15 +40,23 @@ class PrefixCounter:
         self.bpe, self.cut = Bpe(ranks), byte_level()
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._count: dict[str, int] = {}
+        self._prefix: dict[str, bytes] = {}
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self._sizes = {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in ends.items()}  # of tokens that end so
 
     def prefixes(self, piece: bytes) -> list[int]:
-        """Token count of each prefix of one piece, from the empty one on; -1 where none is reachable."""
-        n, ids, longest, fits = len(piece), self.bpe.ranks, self.bpe.longest, self.bpe.adjacent
-        last, count = [-1] * (n + 1), [0] * (n + 1)
+        """Token count of each prefix of one piece, from the empty one on."""
+        n, ids, sizes, fits, whole = len(piece), self.bpe.ranks, self._sizes, self.bpe.adjacent, self._whole
+        last, count, few = [-1] * (n + 1), [0] * (n + 1), (2, 1)
         for i in range(1, n + 1):
-            for size in range(min(i, longest), 0, -1):
+            for size in sizes.get(piece[i - 3 : i], few) if i > 2 else few:
+                if size > i:
+                    continue
                 t = ids.get(piece[i - size : i])
-                if t is None or (size < i and not fits(last[i - size], t)) or (size == i and size > 1 and not self._whole(t)):
+                if t is None or (not fits(last[i - size], t) if size < i else size > 1 and not whole(t)):
                     continue
                 last[i], count[i] = t, count[i - size] + 1
                 break
@@ -50,28 +66,47 @@ class PrefixCounter:
     def _whole(self, token: int) -> bool:
         return self.bpe.merge(self.bpe.bytes_of[token]) == [token]
 
+    def by_char(self, piece: str) -> np.ndarray:
+        """Token count of each prefix in characters."""
+        kept = self._prefix.get(piece)
+        if kept is not None:
+            return np.frombuffer(kept, np.uint8)
+        raw = piece.encode()
+        count = np.array(self.prefixes(raw))
+        if len(raw) != len(piece):  # a character begins at a byte that does not go on one
+            count = count[np.r_[(np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True]]
+        return count
+
     def _piece(self, piece: str) -> int:
         if len(self._count) >= PIECES:
             self._count.clear()
-        n = self._count[piece] = self.prefixes(piece.encode())[-1]
+            self._prefix.clear()
+        count = self.by_char(piece)
+        if len(piece) <= 64:
+            self._prefix[piece] = count.astype(np.uint8).tobytes()
+        n = self._count[piece] = int(count[-1])
         return n
 
-    def _runs(self, text: str):
-        """(text, is special) of the stretches between special strings."""
-        for i, part in enumerate(self._split.split(text) if self._split else [text]):
-            if part:
-                yield part, bool(i % 2)
+    def pieces(self, text: str) -> tuple[list[str], list[int], set[int]]:
+        """(pieces, tokens of each, places of those that are special strings)."""
+        known, solve = self._count.get, self._piece
+        if self._split is None or not (parts := self._split.split(text))[1:]:
+            every = self.cut(text)
+            return every, [known(p) or solve(p) for p in every], set()
+        every, count, special = [], [], set()
+        for i, part in enumerate(parts):
+            if i % 2:
+                special.add(len(every))
+                every.append(part)
+                count.append(1)
+            else:
+                some = self.cut(part)
+                every += some
+                count += [known(p) or solve(p) for p in some]
+        return every, count, special
 
     def count(self, text: str) -> int:
-        known, total = self._count, 0
-        for part, special in self._runs(text):
-            if special:
-                total += 1
-            else:
-                for p in self.cut(part):
-                    n = known.get(p)
-                    total += self._piece(p) if n is None else n
-        return total
+        return sum(self.pieces(text)[1])
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
@@ -82,38 +117,62 @@ class PrefixTable:
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
-        self.ends, self.totals, self.blank = [0], [0], [False]
-        for part, special in counter._runs(text):
-            for p in [part] if special else counter.cut(part):
-                self.ends.append(self.ends[-1] + len(p))
-                self.totals.append(self.totals[-1] + (1 if special else counter._count.get(p) or counter._piece(p)))
-                self.blank.append(p.isspace() and not special)
+        self.pieces, count, self.special = counter.pieces(text)
+        self.totals = list(accumulate(count, initial=0))
+
+    @functools.cached_property
+    def ends(self) -> list[int]:
+        return list(accumulate(map(len, self.pieces), initial=0))
 
     def __len__(self) -> int:
         return self.totals[-1]
 
+    def _blank(self, k: int) -> bool:
+        p = self.pieces[k]
+        return k not in self.special and p.isspace() and not any("\x1c" <= c <= "\x1f" for c in p)
+
+    def _longer(self, k: int) -> str:
+        """Piece k, and if it is white space the next character too where that is: a prefix that ends there has both in one piece."""
+        if self._blank(k) and k + 1 < len(self.pieces) and k + 1 not in self.special:
+            first = self.pieces[k + 1][0]
+            if first.isspace() and not "\x1c" <= first <= "\x1f":
+                return self.pieces[k] + first
+        return self.pieces[k]
+
     def count(self, chars: int) -> int:
-        """Tokens of ``text[:chars]`` encoded on its own. Only its last piece can differ from the whole text's, or its
-        last two if both are white space."""
-        chars = max(0, min(chars, len(self.text)))
-        k = bisect_right(self.ends, chars) - 1
-        if self.ends[k] == chars and not self.blank[k]:
-            return self.totals[k]
-        if self.ends[k] == chars:
-            k -= 1
-        while k > 0 and self.blank[k] and self.text[self.ends[k] : chars].isspace():
-            k -= 1
-        return self.totals[k] + self.counter.count(self.text[self.ends[k] : chars])
+        """Tokens of ``text[:chars]`` encoded on its own."""
+        chars = min(chars, len(self.text))
+        if chars <= 0:
+            return 0
+        k = bisect_left(self.ends, chars) - 1
+        p, j = self.pieces[k], chars - self.ends[k]
+        if k in self.special:
+            if j == len(p):
+                return self.totals[k + 1]
+            k -= k > 0 and k - 1 not in self.special
+            return self.totals[k] + self.counter.count(self.text[self.ends[k] : chars])
+        if j == 1 and k and len(longer := self._longer(k - 1)) > len(self.pieces[k - 1]):
+            return self.totals[k - 1] + int(self.counter.by_char(longer)[-1])
+        if j == 2 and len(p) == 3 and p[0] == "'" and p[1].isalpha():
+            return self.totals[k] + self.counter.count(p[:2])
+        return self.totals[k] + int(self.counter.by_char(p)[j])
 
     def truncate(self, budget: int) -> int:
         """The longest prefix, in characters, of at most ``budget`` tokens."""
         if len(self) <= budget:
             return len(self.text)
-        k = bisect_right(self.totals, max(budget, 0)) - 1
-        for chars in range(self.ends[min(k + 2, len(self.ends) - 1)], self.ends[k], -1):
+        if budget <= 0:
+            return 0
+        k = bisect_right(self.totals, budget) - 1
+        after = range(self.ends[k + 1] + 1, self.ends[min(k + 2, len(self.pieces))]) if k + 1 in self.special else range(0)
+        within = range(self.ends[k] + 1, self.ends[k + 1] + 1)
+        if k not in self.special:
+            fits = np.flatnonzero(self.counter.by_char(self._longer(k)) <= budget - self.totals[k])
+            within = [self.ends[k] + 1, *(fits[1:] + self.ends[k]).tolist()]
+        for chars in (*reversed(after), *reversed(within)):
             if self.count(chars) <= budget:
                 return chars
-        return self.ends[k] if budget > 0 else 0
+        return self.ends[k]
 
     def fits(self, chars: int, budget: int) -> bool:
         return self.count(chars) <= budget
@@ -125,15 +184,17 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text); rows that repeat are kept."""
+    """doc_id, n_bytes, n_tokens, over_limit and kept_chars, the longest prefix within the limit, of every row of docs (doc_id,
+    text); rows that repeat are kept."""
 
     def fn(batch):
         c = counter(path)
         texts = batch.column("text").to_pylist()
-        n = [c.count(t) for t in texts]
-        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        tables = map(c.table, texts)  # one at a time
+        n, kept = zip(*[(len(t), t.truncate(limit)) for t in tables], strict=True)
+        return {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k < len(t) for k, t in zip(kept, texts, strict=True)], "kept_chars": kept}
 
-    return rows.map_batches(rows.texts(docs), fn, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.map_batches(rows.texts(docs), fn, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
