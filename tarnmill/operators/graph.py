@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import stored
+from ..checkpoints import discard, stored
 from .pages import trimmed
 
 CENTRALITY_NODES = 20_000
@@ -33,6 +33,11 @@ def build(pages: DataFrame, links: DataFrame, exact: bool = False) -> DataFrame:
     return found.where(F.col("dst_id").isNotNull() & (F.col("src_id") != F.col("dst_id"))).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct()
 
 
+def by_source(edges: DataFrame) -> DataFrame:
+    """edges written once, dealt by source: loops read them each round."""
+    return edges if hasattr(edges, "_stored_at") else stored(edges.repartition("src"), "edges")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     o = edges.groupBy(F.col("src").alias("_s")).agg(F.count("*").alias("out_degree"))
     i = edges.groupBy(F.col("dst").alias("_d")).agg(F.count("*").alias("in_degree"))
@@ -42,18 +47,20 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, epsilon: float = 1e-4, damping: float = 0.85, digits: int = 2) -> DataFrame:
     """id, score scaled to a maximum of 10. Pages without links spread their rank evenly. Stops when the ranks' sum of changes
     is under epsilon."""
+    edges = by_source(edges)
     d = stored(degrees(nodes, edges).select("id", "out_degree"), "degrees")
     n = d.count()
     if not n:
         return d.select("id", F.lit(0.0).alias("score"))
-    rank = d.withColumn("rank", F.lit(1.0 / n))
+    rank, state = d.withColumn("rank", F.lit(1.0 / n)), None
     for k in range(rounds):
         dangling = F.lit(rank.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))).first()[0])
         sent = edges.join(rank.select(F.col("id").alias("_i"), F.try_divide("rank", "out_degree").alias("part")), F.col("src") == F.col("_i")).groupBy("dst").agg(F.sum("part").alias("got"))
         new = rank.join(sent, F.col("id") == F.col("dst"), "left").select("id", "out_degree", F.col("rank").alias("old"), ((1 - damping) / n + damping * dangling / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = stored(new, "pagerank")
+        before, new = state, stored(new, "pagerank")
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.select("id", "out_degree", "rank")
+        rank, state = new.select("id", "out_degree", "rank"), new
+        discard(before)
         if moved < epsilon:
             break
     top = rank.agg(F.max("rank")).first()[0]
@@ -62,6 +69,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, epsilon: flo
 
 def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 50, epsilon: float = 1e-4, digits: int = 2) -> DataFrame:
     """id, authority and hub, each scaled to a maximum of 10; both are updated from the vectors before."""
+    edges, state = by_source(edges), None
     v = stored(nodes.select("id", F.lit(1.0).alias("auth"), F.lit(1.0).alias("hub")), "hits")
     for _ in range(rounds):
         a = edges.join(v.select(F.col("id").alias("_i"), "hub"), F.col("src") == F.col("_i")).groupBy(F.col("dst").alias("_a")).agg(F.sum("hub").alias("new_auth"))
@@ -71,6 +79,8 @@ def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 50, epsilon: float =
         na, nh = na or 1.0, nh or 1.0
         moved = new.agg(F.sum(F.abs(F.col("na") / na - F.col("auth")) + F.abs(F.col("nh") / nh - F.col("hub")))).first()[0]
         v = new.select("id", (F.col("na") / na).alias("auth"), (F.col("nh") / nh).alias("hub"))
+        discard(state)
+        state = new
         if moved is None or moved < epsilon:
             break
     top_a, top_h = v.agg(F.max("auth"), F.max("hub")).first()
@@ -80,7 +90,7 @@ def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 50, epsilon: float =
 
 def click_depths(edges: DataFrame, home: int, deepest: int | None = None) -> DataFrame:
     """id, depth of the pages reached from home; level by level until nothing is new."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, by_source(edges)
     seen = spark.createDataFrame([(home, 0)], "id long, depth int")
     front, depth = seen, 0
     while deepest is None or depth < deepest:
@@ -89,7 +99,8 @@ def click_depths(edges: DataFrame, home: int, deepest: int | None = None) -> Dat
         front = stored(step.join(seen.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti").withColumn("depth", F.lit(depth)), "depths")
         if front.isEmpty():
             break
-        seen = stored(seen.unionByName(front), "depths")
+        before, seen = seen, stored(seen.unionByName(front), "depths")
+        discard(before)
     return seen
 
 
@@ -118,6 +129,7 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, root): the least id of each connected component, by spreading minima and jumping."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "components")
     label = stored(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")), "components")
+    state = None
     while True:
         least = both.join(label.select(F.col("id").alias("_i"), "root"), F.col("b") == F.col("_i")).groupBy("a").agg(F.min("root").alias("m"))
         new = label.join(least, F.col("id") == F.col("a"), "left").select("id", F.least("root", "m").alias("root"), F.col("root").alias("old"))
@@ -125,7 +137,8 @@ def components(links: DataFrame) -> DataFrame:
         new = stored(new.join(jump, F.col("root") == F.col("_r"), "left").select("id", F.least("root", "up").alias("root"), "old"), "components")
         if new.where(F.col("root") != F.col("old")).isEmpty():
             return new.select("id", "root")
-        label = new.select("id", "root")
+        discard(label if state is None else state)
+        label, state = new.select("id", "root"), new
 
 
 def centralities(nodes: DataFrame, edges: DataFrame, sources: int = 500) -> DataFrame:
