@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     e = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, seen = rows.stored(e, "links"), None
     for _ in range(ROUNDS):
-        e = rows.stored(_stars(_stars(e, True), False), "links")
+        before, e = e, rows.stored(_stars(_stars(e, True), False), "links")
+        rows.discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct())

@@ -17,15 +17,22 @@ empty in both prove nothing, so there are more cells than d + 1, and a set with
 that margin has prefix keys besides: the least (1 - s) n + 1 of its hashes, one of which any two
 such sets share.
 
+A key's group that fits one leaf of the tree (``SMALL`` nodes or fewer) has no boxes to prune by: its pairs are bounded at
+once, many groups together.
+
 Steps: (1) sets that are equal become one node; (2) keys with one node go; (3) in each key's tree,
 nodes whose bound passes are united, and a spanning forest of them leaves; (4) the forests' components
 are small clusters, to which the sets are dealt; (5) each cluster's tree verifies pairs on the sets
 and skips pairs already united; (6) components of the verified links. Keys and clusters of more than
 ``BLOCK`` nodes, and clusters of more than ``BLOCK_BYTES`` of sets, are cut into blocks, and each pair of blocks is a task's work, so no group is
-collected whole; no pair is dropped. Hashes have 64 bits; a node is told by hash and size.
-
-Texts: null, empty or without words: empty set, linked with nothing. Rows that repeat have equal sets
-and one component. A null doc_id never names a component.
+collected whole; no pair is dropped. Words and shingles are 64-bit hashes throughout, and similarity is
+counted on them; a node is told by a hash of its set. Names go back to rows by a join in which the rows of
+frequent nodes, as of exact copies, stay where they are.
+
+Texts: null, empty or without words: empty set, linked with nothing. A text of any length is read whole, in
+proportion to its length. Rows that repeat have equal sets and one component. A null doc_id never names a
+component, and rows without an id are told apart by their texts. An empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -225,7 +232,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
 
 
 def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node, point and keys of every row; an empty set has no node."""
+    """doc_id, row (hash), n, node, point and keys of every row; an empty set has no node."""
 
     def fn(batch):
         every = list(sets(batch.column("text"), width))
@@ -235,13 +242,15 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         fresh = [f and not (i in seen or seen.add(i)) for i, f in zip(ids, full, strict=True)]  # keys once a batch
         return {
             "doc_id": batch.column("doc_id"),
+            "row": batch.column("row"),
             "n": [len(h) for h in every],
             "node": pa.array(ids, pa.int64()),
             "point": pa.array([stored_point(h) if f else None for h, f in zip(every, fresh, strict=True)], pa.binary()),
             "keys": pa.array([keys(h, num, den).view(np.int64) if f else None for h, f in zip(every, fresh, strict=True)], pa.list_(pa.int64())),
         }
 
-    return rows.map_batches(rows.texts(docs), fn, "doc_id long, n long, node long, point binary, keys array<long>")
+    t = rows.texts(docs)
+    return rows.map_batches(t.withColumn("row", rows.row_hash(t["doc_id"], t["text"])), fn, "doc_id long, row long, n long, node long, point binary, keys array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,25 +362,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK,
     pairs = nodes.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     shared = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
     points = nodes.where(F.col("point").isNotNull()).dropDuplicates(["node"]).select("node", "n", "point")
-    dealt = _blocked(rows.stored(shared, "jaccard-keys"), "key", block * 2).join(points, "node")
+    shared = rows.stored(shared, "jaccard-keys")
+    dealt = _blocked(shared, "key", block * 2).join(points, "node")
     bounded = dealt.select("task", "part", "node", "n", "point").repartition("task").sortWithinPartitions("task", "n").mapInArrow(lambda batches: _bounded(batches, num, den), "a long, b long")
     clusters = components(bounded)
-    one = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"), F.min("n").alias("n"))
-    chosen = clusters.join(one, "node").select("node", "root", "doc_id")
+    one = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"))
+    chosen = clusters.join(one, "node").select("node", "root", "row")
     found = rows.stored(_sets_of(docs, chosen, width), "jaccard-sets")
     tasks = _blocked(found, "root", block, F.octet_length("hashes")).select("task", "part", "node", "hashes").repartition("task").sortWithinPartitions("task", "node")
     links = components(tasks.mapInArrow(lambda batches: _verified(batches, num, den), "a long, b long"))
     least = one.join(links, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = links.join(least, "root").select(F.col("node").alias("_node"), "component_id")
-    lone = one.select(F.col("node").alias("_node"), F.col("doc_id").alias("own"))
-    named = lone.join(named, "_node", "left").select("_node", F.coalesce("component_id", "own").alias("component_id"))
-    out = nodes.select("doc_id", "n", "node").join(named, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = links.join(least, "root").select("node", "component_id")
+    named = one.select("node", "copies", F.col("doc_id").alias("own")).join(named, "node", "left").select("node", "copies", F.coalesce("component_id", "own").alias("component_id"))
+    named = rows.stored(named, "jaccard-names")
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    rows.discard(shared, found)
+    slim = nodes.select("doc_id", "n", "node")
+    full = rows.spread_join(slim.where(F.col("node").isNotNull()), named, "node", "copies", total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(slim.where(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """node, root and hashes (binary) of the chosen nodes, from the text of one document of each. A node whose documents all
-    lack an id is found by its null id."""
+    """node, root and hashes (binary) of the chosen nodes, from the text of one row of each."""
 
     def fn(batch):
         every = list(sets(batch.column("text"), width))
@@ -379,8 +391,8 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
         mine = [i for i, h in enumerate(every) if len(h) and node(h) == ids[i]]
         return {"node": pa.array([ids[i] for i in mine], pa.int64()), "root": batch.column("root").take(pa.array(mine, pa.int64())), "hashes": pa.array([every[i].tobytes() for i in mine], pa.binary())}
 
-    c = chosen.select(F.col("doc_id").alias("_id"), "node", "root")
-    t = rows.texts(docs).join(c, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "root")
+    t = rows.texts(docs)
+    t = t.select(rows.row_hash(t["doc_id"], t["text"]).alias("row"), "text").join(chosen, "row").select("text", "node", "root")
     return rows.map_batches(t, fn, "node long, root long, hashes binary").dropDuplicates(["node"])
 
 

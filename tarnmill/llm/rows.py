@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import discard, stored  # noqa: F401  the operators' way to cut lineage
+
+HOT_ROWS, HOT_KEYS = 256, 10_000
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers
@@ -32,26 +37,41 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that driver and executors share."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
+def trim() -> None:
+    """Gives freed memory back at a task's end: workers live on, and several operators share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to miss every column of df; Spark heeds no case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
 
-        root = "file://" + tempfile.mkdtemp(prefix="tarnmill-")  # only where none is named, as in tests on one machine
-        sc.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tarnmill/{name}-{uuid.uuid4().hex}"
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart by id and text; a null id is one of its own."""
+    return F.xxhash64(doc_id.cast("long"), doc_id.isNull(), F.coalesce(text.cast("string"), F.lit("")))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread_join(left: DataFrame, right: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Inner join of left with right, which has each key once and in ``copies`` its number of rows on the left (``total`` in all).
+    Keys of more than max(HOT_ROWS, total / HOT_KEYS) rows, of which there are HOT_KEYS at most, are broadcast, so their rows
+    stay where they are; the others are shuffled."""
+    unit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = right.where(F.col(copies) > unit).drop(copies), right.where(F.col(copies) <= unit).drop(copies)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

@@ -7,18 +7,22 @@ starts earlier (smaller doc_id, or same document and earlier start).
 name equal anchors, and neighbours mostly share one, so anchors are a seventh as many as words. Their
 counts, summed map-side, tell which recur, and a bitmap of fixed size carries that to (2); where it
 fills up it passes more and loses nothing. (2) Documents are read again, and the passage about each
-recurring anchor, from its first to its last window, goes to the anchor's shard. Passages equal to one
-earlier in the same batch need not go: their windows are known to start earlier. Anchors of more than
-``HOT`` places would make a large group; their passages go as single windows, dealt by content, of
-which a batch sends each once. (3) A shard confirms which of its passages' windows recur, compiles
+recurring anchor, from its first to its last window, goes to the anchor's shard: so a shard's automaton is
+streamed over every part of every document that can hold one of its phrases, and over nothing else. Passages
+equal to one earlier in the same batch need not go: their windows are known to start earlier. Anchors of more
+than ``HOT`` places would make a large group; their passages go as single windows, dealt by content, of
+which a batch sends each once. (3) A shard confirms by counts which of its passages' windows recur, compiles
 those into Aho-Corasick automata over word numbers, a bounded number at a time, and streams its
-passages through them: each place found, but for the phrase's first, is to be removed. (4) Places are
+passages through them, which gives the places: each but for the phrase's first is to be removed. Hot windows
+are one phrase a task; of their places only the least is held. (4) Places are
 gathered by document and joined to the texts.
 
 Windows are compared word by word; hashes only deal them out. Texts: null, empty or without words have
-no windows and kept words "". Repeats of a row, with id and text, are one document: they have the same places
-and get the same answer. Texts without an id are documents of their own and come before all others, by a hash;
-of different texts under one id, that of least hash has the id's place and the others come last.
+no windows and kept words ""; a text of any length is read whole. Repeats of a row, with id and text, are one
+document: they have the same places and get the same answer. Texts without an id are documents of their own and
+come before all others, by a hash; of different texts under one id, that of least hash has the id's place and
+the others come last. An empty table gives no rows. substring_dedup reads no other columns, without_repeats
+keeps them.
 """
 
 from __future__ import annotations
@@ -103,13 +107,15 @@ def among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _sent(batch: pa.RecordBatch, recurring: np.ndarray, hot: np.ndarray, window: int, gram: int) -> dict:
-    """Rows (task, doc, start, n, words): passages to compare, and with null words places known to be removed."""
+    """Rows (task, one, doc, start, n, words): passages to compare, ``one`` for hot windows, and with null words places known to
+    be removed."""
     ids = batch.column("doc_id").to_numpy()
-    first: dict[bytes, tuple[int, int]] = {}
+    first: dict[tuple[bytes, bool], tuple[int, int]] = {}
     known: list[tuple[int, int, int]] = []
-    tasks: dict[bytes, int] = {}
+    tasks: dict[tuple[bytes, bool], int] = {}
 
-    def see(text: bytes, task: int, doc: int, start: int, n: int) -> None:
+    def see(words_: bytes, one: bool, task: int, doc: int, start: int, n: int) -> None:
+        text = words_, one
         at, was = (doc, start), first.get(text)
         if was is None:
             first[text], tasks[text] = at, task
@@ -131,86 +137,108 @@ def _sent(batch: pa.RecordBatch, recurring: np.ndarray, hot: np.ndarray, window:
         for i, (d, s, m, a, one) in enumerate(zip(ids[w.first + doc].tolist(), inside, n.tolist(), h.view(np.int64).tolist(), single.tolist(), strict=True)):
             tokens = raw[begin[i] : end[i]].split()
             if not one:
-                see(b" ".join(tokens), a, d, s, m)
+                see(b" ".join(tokens), False, a, d, s, m)
             else:
                 for k in range(m):
-                    see(b" ".join(tokens[k : k + window]), int(whole[starts[i] + k].view(np.int64)), d, s + k, 1)
+                    see(b" ".join(tokens[k : k + window]), True, int(whole[starts[i] + k].view(np.int64)), d, s + k, 1)
     text = list(first)
     doc, start = [first[t][0] for t in text] + [k[0] for k in known], [first[t][1] for t in text] + [k[1] for k in known]
-    n = [t.count(b" ") + 2 - window for t in text] + [k[2] for k in known]
+    n = [t.count(b" ") + 2 - window for t, _ in text] + [k[2] for k in known]
     task = [tasks[t] for t in text] + mix(np.array([k[0] for k in known], np.int64).view(U) + np.array([k[1] for k in known], np.int64).view(U)).view(np.int64).tolist()
-    return {"task": pa.array(task, pa.int64()), "doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()), "words": pa.array(text + [None] * len(known), pa.binary())}
+    return {"task": pa.array(task, pa.int64()), "one": pa.array([one for _, one in text] + [False] * len(known), pa.bool_()), "doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()), "words": pa.array([t for t, _ in text] + [None] * len(known), pa.binary())}
 
 
-def _located(group: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int]]:
+def _located(group: list[tuple[int, int, int, bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, n): runs of windows that start earlier elsewhere. group: whole tasks' (task, doc, start, words)."""
+    none = np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
-    streams = []
-    for task, doc, start, text in group:
-        streams.append((task, doc, start, [number.setdefault(x, len(number) + 1) for x in text.split()]))
-    seen: dict[bytes, list] = {}  # window -> [place of its first, number of places, words]
-    for _, doc, start, ids in streams:
-        flat = np.array(ids, dtype=np.uint32).tobytes()
-        for k in range(len(ids) - window + 1):
-            w = flat[4 * k : 4 * (k + window)]
-            was = seen.get(w)
-            if was is None:
-                seen[w] = [(doc, start + k), 1]
-            elif was[0] != (doc, start + k):
-                was[0], was[1] = min(was[0], (doc, start + k)), was[1] + 1
-    phrases = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, (place, n) in seen.items():
-        if n > 1:
-            phrases.add_word(tuple(np.frombuffer(w, np.uint32).tolist()), place)
-    if not len(phrases):
-        return
+    streams = [[number.setdefault(x, len(number) + 1) for x in text.split()] for _, _, _, text in group]
+    # Confirm: windows of several places, by a hash of their words' numbers.
+    flat, sizes = np.array([i for ids in streams for i in ids], np.int64), np.array([len(ids) for ids in streams])
+    if not len(flat):
+        return none, none, none
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(len(flat)) - np.repeat(begin, sizes)
+    whole = np.flatnonzero(at + window <= np.repeat(sizes, sizes))
+    h = _rolling(mix(flat.view(U)), window, 3)[whole]
+    doc = np.repeat(np.array([g[1] for g in group]), sizes)[whole]
+    start = (np.repeat(np.array([g[2] for g in group]), sizes) + at)[whole]
+    order = np.lexsort((start, doc, h))
+    same = h[order][1:] == h[order][:-1]
+    apart = (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])
+    recurring = np.unique(h[order][1:][same & apart])
+    if not len(recurring):
+        return none, none, none
+    # Compile those, word by word.
+    phrases, compiled = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), set()
+    small = flat.astype(np.uint32)
+    for k in whole[np.isin(h, recurring)].tolist():
+        w = small[k : k + window].tobytes()
+        if w not in compiled:
+            compiled.add(w)
+            phrases.add_word(tuple(small[k : k + window].tolist()), len(compiled))
     phrases.make_automaton()
-    for _, doc, start, ids in streams:
-        run, last = None, None
-        for end, place in phrases.iter(tuple(ids)):
-            at = start + end - window + 1
-            if place == (doc, at):
-                continue
-            if last is not None and at == last + 1:
-                last = at
-                continue
-            if run is not None:
-                yield doc, run, last - run + 1
-            run = last = at
-        if run is not None:
-            yield doc, run, last - run + 1
+    # Stream: every place of every phrase.
+    which, docs, places = [], [], []
+    for (_, d, s, _), ids in zip(group, streams, strict=True):
+        for end, phrase in phrases.iter(tuple(ids)):
+            which.append(phrase)
+            docs.append(d)
+            places.append(s + end - window + 1)
+    which, docs, places = np.array(which, np.int64), np.array(docs, np.int64), np.array(places, np.int64)
+    order = np.lexsort((places, docs, which))
+    which, docs, places = which[order], docs[order], places[order]
+    first = np.r_[True, which[1:] != which[:-1]]
+    again = np.r_[False, (docs[1:] == docs[:-1]) & (places[1:] == places[:-1])] & ~first  # a repeated row's place
+    least = np.maximum.accumulate(np.where(first, np.arange(len(which)), 0))
+    gone = ~first & ~again & ~((docs == docs[least]) & (places == places[least]))
+    docs, places = docs[gone], places[gone]
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    if not len(docs):
+        return none, none, none
+    new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (places[1:] > places[:-1] + 1)])
+    last = np.r_[new[1:], len(docs)] - 1
+    return docs[new], places[new], places[last] - places[new] + 1
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Tasks come whole and one after another; those of one passage have nothing to compare."""
 
-    def out(found):
-        return pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("doc", "start", "n"))})
+    def out(doc, start, n):
+        return pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64())})
 
     held: list[tuple[int, int, int, bytes]] = []  # whole tasks
     task: list[tuple[int, int, int, bytes]] = []  # the one that may go on
-    windows = 0
+    windows, hot, least = 0, None, {}
     for b in batches:
         known = b.filter(b.column("words").is_null())
         if known.num_rows:
             yield known.select(["doc", "start", "n"])
         b = b.filter(b.column("words").is_valid())
-        found: list[tuple[int, int, int]] = []
-        for row in zip(b.column("task").to_pylist(), b.column("doc").to_pylist(), b.column("start").to_pylist(), b.column("words").to_pylist(), strict=True):
-            if task and task[-1][0] != row[0]:
+        later: list[tuple[int, int]] = []
+        for t, one, doc, start, words_ in zip(*(b.column(c).to_pylist() for c in ("task", "one", "doc", "start", "words")), strict=True):
+            if one:  # a hot window: the least place stays, whatever their number
+                if t != hot:
+                    hot, least = t, {}
+                place, was = (doc, start), least.setdefault(words_, (doc, start))
+                if place != was:
+                    least[words_] = min(place, was)
+                    later.append(max(place, was))
+                continue
+            if task and task[-1][0] != t:
                 if len(task) > 1:
                     held += task
-                    windows += sum(t[3].count(b" ") + 2 - window for t in task)
+                    windows += sum(x[3].count(b" ") + 2 - window for x in task)
                     if windows >= PHRASES:
-                        found += _located(held, window)
+                        yield out(*_located(held, window))
                         held, windows = [], 0
                 task = []
-            task.append(row)
-        if found:
-            yield out(found)
-    found = list(_located(held + (task if len(task) > 1 else []), window))
-    if found:
-        yield out(found)
+            task.append((t, doc, start, words_))
+        if later:
+            yield out([d for d, _ in later], [s for _, s in later], [1] * len(later))
+    yield out(*_located(held + (task if len(task) > 1 else []), window))
+    rows.trim()
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -218,10 +246,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     spark = docs.sparkSession
     counts = rows.stored(_counts(docs, window, gram).where(F.col("n") > 1), "anchors")
     filters = spark.sparkContext.broadcast((bitmap(counts, "anchor", BITS), bitmap(counts.where(F.col("n") > hot), "anchor", HOT_BITS)))
-    sent = rows.map_batches(docs, lambda b: _sent(b, *filters.value, window, gram), "task long, doc long, start long, n long, words binary")
+    sent = rows.map_batches(docs, lambda b: _sent(b, *filters.value, window, gram), "task long, one boolean, doc long, start long, n long, words binary")
     dealt = sent.repartition("task").sortWithinPartitions("task")
     places = dealt.mapInArrow(lambda batches: _shard(batches, window), "doc long, start long, n long")
-    return places.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    return places.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("places"))
 
 
 def kept_words(text: str, places: list | None, window: int = WINDOW) -> tuple[list[bytes], int]:
@@ -239,22 +267,24 @@ def kept_words(text: str, places: list | None, window: int = WINDOW) -> tuple[li
     return [x for x, g in zip(w, gone.tolist(), strict=True) if not g], len(w)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column ``_key``: doc_id, or for texts without one and for second texts of one a number of their own."""
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column ``key``: doc_id, or for texts without one and for second texts of one a number of their own."""
     i, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    d = docs.select(i.alias("_id"), F.xxhash64(text).alias("_hash")).where("_id is not null")
-    several = d.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least < _most").select("_id", "_least")
+    id_, hash_, least = rows.fresh(docs, "_id", "_hash", "_least")
+    d = docs.select(i.alias(id_), F.xxhash64(text).alias(hash_)).where(F.col(id_).isNotNull())
+    several = d.groupBy(id_).agg(F.min(hash_).alias(least), F.max(hash_).alias(hash_)).where(F.col(least) < F.col(hash_)).select(id_, least)
     several = rows.stored(several, "substring-ids")
     own = F.xxhash64(i, text).bitwiseAND(F.lit(SPAN))
-    key = F.when(i.isNull(), own + F.lit(NO_ID)).when(F.xxhash64(text) != F.col("_least"), own + F.lit(SECOND)).otherwise(i)
-    return docs.join(several, i == F.col("_id"), "left").withColumn("_key", key).drop("_id", "_least")
+    made = F.when(i.isNull(), own + F.lit(NO_ID)).when(F.xxhash64(text) != F.col(least), own + F.lit(SECOND)).otherwise(i)
+    return docs.join(several, i == F.col(id_), "left").withColumn(key, made).drop(id_, least)
 
 
-def _with_places(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """docs with a column ``_places``."""
-    keyed = _keyed(docs)
-    found = repeats(rows.texts(keyed, "_key"), window, gram, hot).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
-    return keyed.join(found, F.col("_key") == F.col("_doc"), "left").drop("_doc", "_key")
+def _with_places(docs: DataFrame, places: str, window: int, gram: int, hot: int) -> DataFrame:
+    """docs with a column ``places``."""
+    key, doc = rows.fresh(docs.withColumn(places, F.lit(None)), "_key", "_doc")
+    keyed = _keyed(docs, key)
+    found = repeats(rows.texts(keyed, key), window, gram, hot).select(F.col("doc").alias(doc), F.col("places").alias(places))
+    return keyed.join(found, F.col(key) == F.col(doc), "left").drop(doc, key)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -265,7 +295,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
         return {"doc_id": batch.column("doc_id"), "n_words": [n for _, n in kept], "n_removed": [n - len(k) for k, n in kept], "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in kept]}
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.map_batches(_with_places(slim, window, gram, hot), fn, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.map_batches(_with_places(slim, "_places", window, gram, hot), fn, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -275,7 +305,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(text, places):
         return text if not places or text is None else b" ".join(kept_words(text, places)[0]).decode()
 
-    out = _with_places(docs, WINDOW, GRAM, HOT).withColumn("text", cut("text", "_places")).select(*docs.columns)
+    (places,) = rows.fresh(docs, "_places")
+    out = _with_places(docs, places, WINDOW, GRAM, HOT).withColumn("text", cut("text", places)).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -6,9 +6,12 @@ and word beginnings whose presence marks label 1; weights are smoothed log odds.
 the pair of it and a neighbour is an exception phrase: one that labelled clean text uses. The sum of
 weights and its rate per hundred words go through a logistic curve fitted on the same rows.
 
-The fit reads a sample of labelled rows of bounded size (``SAMPLE``, the least by hash); scoring reads
-every row and whole texts. Null counts as empty; an empty text has no hit and gets the curve's value
-for none. Repeated rows are scored each; of labels that contradict each other 1 counts.
+The fit reads at most ``SAMPLE`` labelled documents, those of least hash, each once: of texts that share an
+id that of least hash. Lexicon and exceptions come whole from that sample, which bounds them; scoring reads
+every row and whole texts, words of any length included. Null counts as empty; an empty text has no hit and
+gets the curve's value for none. Repeated rows are scored each; of labels that contradict each other 1 counts.
+Empty tables give no rows; without labels of both kinds nothing is rejected. ``scored`` reads no other
+columns, ``without_toxic`` keeps them.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from . import rows
 
 SAMPLE = 20_000
-ENTRIES = 3_000
 MIN_DOCS, MIN_SHARE = 2, 0.008  # toxic texts that an entry needs: so many, and such a share of all
 MIN_WEIGHT = 3.0
 STEMS = (4, 5, 6)
@@ -112,13 +114,13 @@ class Lexicon:
 def pairs(folded: str, at: int) -> list[tuple[str, str]]:
     """The word at a place with its left and its right neighbour."""
     end = folded.index(" ", at + 1)
-    word, left, right = folded[at + 1 : end], folded[max(0, at - 60) : at].rpartition(" ")[2], folded[end + 1 : end + 60].partition(" ")[0]
-    return [(left, word), (word, right)]
+    after = folded.find(" ", end + 1)
+    return [(folded[folded.rfind(" ", 0, at) + 1 : at], folded[at + 1 : end]), (folded[at + 1 : end], folded[end + 1 : after] if after >= 0 else "")]
 
 
 def _entries(folded: str) -> set[str]:
     words = set(folded.split())
-    return {f" {w} " for w in words if len(w) <= 40} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
 def _counted(sample: DataFrame, features) -> DataFrame:
@@ -154,21 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Learns from labelled rows that are not held out; without both labels the lexicon is empty and scores stay low."""
     spark = docs.sparkSession
     some = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = rows.stored(rows.texts(docs).join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxicity")
+    found = rows.texts(docs).join(F.broadcast(some), "doc_id")  # SAMPLE ids at most
+    chosen = rows.stored(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxicity")
     n = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
         return Lexicon({})
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     top = _counted(chosen, lambda t: _entries(fold(t))).where(F.col("bad") >= max(MIN_DOCS, math.ceil(MIN_SHARE * bad))).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-    lexicon = Lexicon({r.feature: r.weight for r in top.orderBy(F.desc("weight"), F.desc("bad"), "feature").limit(ENTRIES).collect()})
+    lexicon = Lexicon({r.feature: r.weight for r in top.collect()})
     shared = spark.sparkContext.broadcast(lexicon)
 
     def phrases(text):
         folded = fold(text)
         return {" ".join(p) for at in shared.value.hits(folded) for p in pairs(folded, at) if all(p)}
 
-    odd = _counted(chosen, phrases).where((F.col("good") >= 3) & (weight < 0)).orderBy(F.desc("good"), "feature").limit(ENTRIES).collect()
+    odd = _counted(chosen, phrases).where((F.col("good") >= 3) & (weight < 0)).collect()
     lexicon.exceptions = {tuple(r.feature.split(" ")) for r in odd}
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -177,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         return {"x": [f[0] for f in found], "y": [f[1] for f in found], "toxic": batch.column("toxic")}
 
     seen = rows.map_batches(chosen, fn, "x double, y double, toxic boolean").toPandas()
+    rows.discard(chosen)
     lexicon.curve = tuple(float(v) for v in _logistic(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy().astype(float)))
     return lexicon
 

@@ -3,13 +3,17 @@
 A url's path becomes segments whose digit runs are written ``0`` (its *shape*); counts by host and
 shape are all that the tree reads, so a host with a third of all urls is a few rows. Level by level,
 a segment stays literal if it has enough of its parent's urls, else it becomes the wildcard ``*``:
-that is where ids and slugs go. First-level siblings of a host whose templates below are the same set
-and whose labelled shares do not differ by a chi-square test are merged. A template is rejected if its
+that is where ids and slugs go. At every level siblings are merged that have the same set of templates
+below and labelled shares that do not differ by a chi-square test; likeness is closed over chains, so the
+branches of one component are judged together, under the least of their names. A parent has 1 / SHARE
+literal children at most, and a wildcard, so its children are one small row. A template is rejected if its
 smoothed labelled share, (blocked + PRIOR * WEIGHT) / (labelled + WEIGHT), reaches ``REJECT``; a
 template without labelled urls has share PRIOR and is allowed. Labels are the rules' own verdicts.
 
+Verdicts go back to urls by a join whose frequent templates are dealt to as many tasks as they fill.
 Null urls, and those without ``://``, have empty host and path and one template of their own. Rows
-that repeat count each. Of rules of one length the first listed wins.
+that repeat count each; an empty table gives no rows, other columns are not read. A url of any length is
+read whole. Of rules of one length the first listed wins.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ LEVELS = 3
 SUPPORT, SHARE = 5, 0.02
 PRIOR, WEIGHT, REJECT = 0.25, 4.0, 0.5
 CHI_SQUARE = 3.841  # one degree of freedom, 5 %
-SALT = 8
+SPLIT, HOT_KEYS = 1 << 16, 10_000  # rows of one template to a task, or total / HOT_KEYS if that is more
 
 
 def ascii_lower(c: Column) -> Column:
@@ -77,19 +81,53 @@ def templates(shapes: DataFrame) -> DataFrame:
     return out
 
 
+def alike(siblings: list[dict]) -> list[int]:
+    """For each sibling (below, labelled, blocked) the place of the first of its component."""
+    up = list(range(len(siblings)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(siblings):
+        for j, b in enumerate(siblings[:i]):
+            if a["below"] != b["below"] or not a["labelled"] or not b["labelled"]:
+                continue
+            n, blocked = a["labelled"] + b["labelled"], a["blocked"] + b["blocked"]
+            cross = a["blocked"] * (b["labelled"] - b["blocked"]) - b["blocked"] * (a["labelled"] - a["blocked"])
+            spread = a["labelled"] * b["labelled"] * blocked * (n - blocked)
+            if not spread or n * cross * cross / spread < CHI_SQUARE:
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return [root(i) for i in range(len(siblings))]
+
+
 def merged(tree: DataFrame) -> DataFrame:
-    """(host, g0, branch): first-level siblings that are statistically alike get one branch, the least of them.
-    A parent has at most 1 / SHARE literal children and a wildcard, which bounds the pairs."""
-    below = F.sort_array(F.collect_set(F.concat_ws("/", F.coalesce("g1", F.lit("-")), F.coalesce("g2", F.lit("-")))))
-    leaves = tree.groupBy("host", "g0", "g1", "g2").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    b = leaves.groupBy("host", "g0").agg(F.xxhash64(below).alias("below"), F.sum("labelled").alias("l"), F.sum("blocked").alias("x"))
-    a = b.select("host", "below", *[F.col(c).alias(f"a_{c}") for c in ("g0", "l", "x")])
-    n, x = F.col("l") + F.col("a_l"), F.col("x") + F.col("a_x")
-    cross = (F.col("x") * (F.col("a_l") - F.col("a_x")) - F.col("a_x") * (F.col("l") - F.col("x"))).cast("double")
-    chi = F.try_divide(n * cross * cross, (F.col("l") * F.col("a_l")).cast("double") * x * (n - x))
-    alike = (F.col("l") > 0) & (F.col("a_l") > 0) & (F.coalesce(chi, F.lit(0.0)) < CHI_SQUARE)
-    pairs = b.join(a, ["host", "below"]).where(alike & (F.col("a_g0") < F.col("g0")))
-    return pairs.groupBy("host", "g0").agg(F.min("a_g0").alias("branch"))
+    """tree with b0..b2: at each level the branch of the segment's component."""
+    out = tree
+    for k in range(LEVELS):
+        parent, g = ["host", *[f"b{i}" for i in range(k)]], f"g{k}"
+        deeper = [F.coalesce(f"g{i}", F.lit("-")) for i in range(k + 1, LEVELS)]
+        leaves = out.groupBy(*parent, *[f"g{i}" for i in range(k, LEVELS)]).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        below = F.xxhash64(F.sort_array(F.collect_set(F.concat_ws("/", *deeper) if deeper else F.lit(""))))
+        child = leaves.where(F.col(g).isNotNull()).groupBy(*parent, g).agg(below.alias("below"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        family = child.groupBy(*parent).agg(F.sort_array(F.collect_list(F.struct(F.col(g).alias("name"), "below", "labelled", "blocked"))).alias("family")).where(F.size("family") > 1)
+
+        def fn(batch, parent=parent, g=g):
+            names = {c: [] for c in (*parent, g, "branch")}
+            for r in batch.to_pylist():
+                for x, first in zip(r["family"], alike(r["family"]), strict=True):
+                    if r["family"][first] is not x:
+                        for c in parent:
+                            names[c].append(r[c])
+                        names[g].append(x["name"])
+                        names["branch"].append(r["family"][first]["name"])
+            return names if names["branch"] else None
+
+        found = rows.map_batches(family, fn, ", ".join(f"{c} string" for c in (*parent, g, "branch")))
+        out = rows.stored(_joined(out, found, [*parent, g]).withColumn(f"b{k}", F.coalesce("branch", g)).drop("branch"), "url-branches")
+    return out
 
 
 def judged(pages: DataFrame, rules=RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -99,15 +137,18 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", page_id: str = "page
     names = [f"s{k}" for k in range(LEVELS)]
     p = p.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("ruled"), *[s.alias(n) for s, n in zip(_segments(F.col("path")), names, strict=True)])
     shapes = p.groupBy("host", *names).agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    tree = templates(rows.stored(shapes, "url-shapes"))
-    tree = rows.stored(_joined(tree, merged(tree), ["host", "g0"]).withColumn("branch", F.coalesce("branch", "g0")), "url-branches")
+    tree = merged(templates(rows.stored(shapes, "url-shapes")))
+    branch = ["host", *[f"b{k}" for k in range(LEVELS)]]
     share = (F.sum("blocked") + PRIOR * WEIGHT) / (F.sum("labelled") + WEIGHT)
-    group = tree.groupBy("host", "branch", "g1", "g2").agg(F.when(share >= REJECT, "block").otherwise("allow").alias("judged"))
-    tree = _joined(tree, group, ["host", "branch", "g1", "g2"])
+    tree = _joined(tree, tree.groupBy(*branch).agg(F.when(share >= REJECT, "block").otherwise("allow").alias("judged")), branch)
     key = lambda *c: F.concat_ws("\x01", *[F.coalesce(x, F.lit("\x02")) for x in c])
-    found = tree.select(key(F.col("host"), *map(F.col, names)).alias("_key"), F.concat(F.lit("/"), F.concat_ws("/", "g0", "g1", "g2")).alias("template"), "judged")
-    found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    p = p.withColumn("key", key(F.col("host"), *map(F.col, names))).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    found = tree.select(key(F.col("host"), *map(F.col, names)).alias("_key"), F.concat(F.lit("/"), F.concat_ws("/", "g0", "g1", "g2")).alias("template"), "judged", "n")
+    found = rows.stored(found, "url-verdicts")
+    unit = max(SPLIT, -(-found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_KEYS))
+    hot = found.where(F.col("n") > unit).select(F.col("_key").alias("_hot"), F.ceil(F.col("n") / unit).cast("int").alias("_parts"))  # HOT_KEYS rows at most
+    found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / unit).cast("int") - 1)))
+    p = p.withColumn("key", key(F.col("host"), *map(F.col, names))).join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left")
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("_parts", F.lit(1))).cast("int"))
     out = p.join(found, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged", F.lit("allow")).alias("verdict"), "template")
 

@@ -1,4 +1,4 @@
-from tarnmill.llm.url_filter import RULES, judged
+from tarnmill.llm.url_filter import RULES, alike, judged
 
 
 def plain(url):
@@ -39,3 +39,32 @@ def test_templates_reject_by_labelled_share(spark):
     got = {r.page_id: r for r in judged(df, rules).collect()}
     assert got[0].template == "/x/bad/0" and got[0].verdict == "block" and got[40].verdict == "allow"
     assert all(got[i].rule is None and got[i].verdict == "allow" for i in range(63, 69))
+
+
+def test_tree_rejects_what_no_rule_covers(spark):
+    # A literal template's labelled urls are blocked by rule; its other urls are those whose digits differ from the rule's.
+    rules = (("a.com/x/p1", "block"), ("a.com/y/p1", "allow"))
+    urls = [f"http://a.com/x/p{1 if i < 40 else 2}{i}" for i in range(50)] + [f"http://a.com/y/p{1 if i < 40 else 2}{i}" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in judged(df, rules).collect()}
+    assert all(got[i].rule is None and got[i].verdict == "block" and got[i].template == "/x/p0" for i in range(40, 50))
+    assert all(got[i].rule is None and got[i].verdict == "allow" for i in range(90, 100))
+
+
+def test_merging_decides(spark):
+    # Two of /en's five labelled urls make no verdict of their own (3 / 9 with the prior's weight is 0.44); with /fr they do.
+    rules = (("a.com/fr/p1", "block"), ("a.com/en/p1", "block"))
+    def tree(siblings):
+        urls = [f"http://a.com/en/p{1 if i < 1 else 2}{i}" for i in range(20)]
+        urls += [f"http://a.com/fr/{'p' if siblings else 'q'}1{i}" if siblings else f"http://a.com/fr/q2{i}" for i in range(20)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        return {r.page_id: r.verdict for r in judged(df, rules).collect()}
+    assert set(list(tree(False).values())[1:20]) == {"allow"}
+    merged = tree(True)
+    assert {merged[i] for i in range(20)} == {"block"}
+
+
+def test_components_of_siblings():
+    s = [{"below": 1, "labelled": 10, "blocked": b} for b in (9, 6, 3, 0)] + [{"below": 2, "labelled": 10, "blocked": 9}, {"below": 1, "labelled": 0, "blocked": 0}]
+    assert alike(s) == [0, 0, 0, 0, 4, 5]  # 9 and 0 differ, a chain joins them
+    assert alike([s[0], s[3]]) == [0, 1] and alike([]) == []
