@@ -8,6 +8,9 @@ documents that link exactly one row stays, that of the least doc_id (null last;
 text); texts without words link with nothing and stay. substring_dedup: words of passages that start earlier
 elsewhere go from the text. secret_scans: secrets in the text become a mark. packing: pieces of
 sequences. n_chars follows the text wherever it changes.
+
+Columns beyond those of documents are kept, whatever their names, up to packing, which has columns of its
+own. Null and empty texts pass every stage; an empty table passes as one. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tarnmill.llm import jaccard_join, packing, rows, secret_scan, substring_dedup, toxicity
 
-
 #: Near duplicates of the stage: shingles of five words, similarity 0.8. op1 alone has four words and 0.85.
 WIDTH, NUM, DEN = 5, 80, 100
 
@@ -27,18 +29,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.withColumn("_row", F.xxhash64(docs["doc_id"].cast("long"), docs["doc_id"].isNull(), F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    found = jaccard_join.jaccard_components(row.select(F.col("_row").alias("doc_id"), "text"), width=WIDTH, num=NUM, den=DEN)
-    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("_linked"), F.col("component_id").alias("_component")).distinct()
+    one, least, root, copies = rows.fresh(docs, "_row", "_least", "_root", "_copies")
+    row = docs.withColumn(one, rows.row_hash(docs["doc_id"], docs["text"]))
+    found = jaccard_join.jaccard_components(row.select(F.col(one).alias("doc_id"), "text"), width=WIDTH, num=NUM, den=DEN)
+    ids = row.groupBy(F.col(one).alias("r")).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("n"))
+    linked = ids.join(found.where("n_shingles > 0").select(F.col("doc_id").alias("r"), "component_id").distinct(), "r")
     linked = rows.stored(linked, "pipeline-linked")
-    ids = row.groupBy("_row").agg(F.min(F.col("doc_id").cast("long")).alias("_id"), F.count("*").alias("_copies"))
-    order = F.struct(F.col("_id").isNull(), "_id", "_row")
-    least = ids.join(linked, F.col("_row") == F.col("_linked")).groupBy("_component").agg(F.min_by(F.struct("_row", "_copies"), order).alias("_least"))
-    kept = rows.stored(least.select(F.col("_least._row").alias("_kept"), F.col("_least._copies").alias("_copies")), "pipeline-kept")
-    one = row.join(linked.select("_linked"), F.col("_row") == F.col("_linked"), "left").join(kept.where("_copies = 1"), F.col("_row") == F.col("_kept"), "left")
-    one = one.where(F.col("_linked").isNull() | F.col("_kept").isNotNull()).select(*docs.columns)
-    repeated = row.join(kept.where("_copies > 1"), F.col("_row") == F.col("_kept")).groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_one"))
-    return one.unionByName(repeated.select("_one.*"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m"))
+    kept = linked.join(first.select("component_id", F.col("m.r").alias("k")), "component_id").select(F.col("r").alias(least), (F.col("r") == F.col("k")).alias(root), F.col("n").alias(copies))
+    kept = rows.stored(kept, "pipeline-kept")
+    # Rows of one hash are one text under one id; of a kept one that repeats, the least row stays.
+    alone = row.join(kept.where(F.col(copies) == 1), F.col(one) == F.col(least), "left")
+    repeats = kept.where(F.col(copies) > 1)
+    alone = alone.where(F.coalesce(root, F.lit(True))).join(repeats.select(F.col(least).alias(f"{least}_")), F.col(one) == F.col(f"{least}_"), "left_anti").select(*docs.columns)
+    several = row.join(repeats.where(root), F.col(one) == F.col(least)).groupBy(one).agg(F.min(F.struct(*docs.columns)).alias(root))
+    return alone.unionByName(several.select(f"{root}.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = rows.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, rows.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rows.discard(before)
     return docs
