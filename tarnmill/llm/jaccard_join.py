@@ -284,12 +284,15 @@ def _blocked(df: DataFrame, by: str, block: int, size: Column | None = None) ->
     BLOCK_BYTES in all, has one copy for each pair of blocks that its block is in, with ``part`` its block."""
     total = df.groupBy(by).agg(F.count("*").alias("_n"), F.sum(F.lit(0) if size is None else size).alias("_b"))
     blocks = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int")
-    big = total.select(F.col(by).alias("_by"), blocks.alias("_blocks")).where(F.col("_blocks") > 1)
-    out = df.join(big, F.col(by) == F.col("_by"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    big = rows.stored(total.select(F.col(by).alias("_by"), "_n", blocks.alias("_blocks")).where(F.col("_blocks") > 1), "jaccard-big")
+    # The HOT_KEYS largest groups are told by broadcast, and their rows are spread; no other has over 1 / HOT_KEYS of all rows.
+    hot = big.orderBy(F.desc("_n"), "_by").limit(rows.HOT_KEYS).select(F.col("_by").alias("_hot"), F.col("_blocks").alias("_hot_blocks"))
+    out = df.join(F.broadcast(hot), F.col(by) == F.col("_hot"), "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col(by)).otherwise(F.xxhash64("node")))
+    out = out.join(big.drop("_n"), F.col("_at") == F.col("_by"), "left").withColumn("_blocks", F.coalesce("_hot_blocks", "_blocks", F.lit(1)))
     out = out.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     out = out.withColumn("_other", other)
-    return out.withColumn("task", F.xxhash64(by, F.least("part", "_other"), F.greatest("part", "_other"))).drop("_by", "_blocks", "_other")
+    return out.withColumn("task", F.xxhash64(by, F.least("part", "_other"), F.greatest("part", "_other"))).drop("_by", "_blocks", "_other", "_hot", "_hot_blocks", "_at")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], small: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
