@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -137,6 +138,17 @@ HEADINGS = (
     ("search", r"(?i)\b(search\s+results?|results?\s+for)\b", 3),
     ("legal", r"(?i)\b(privacy|terms|legal|disclaimer|cookie)\b", 2),
 )
+#: What in the types of structured data does.
+SCHEMA_TYPES = {
+    "product": (("product", "offer", "aggregateoffer", "productgroup"), 3),
+    "ad_detail": (("vehicle", "car", "realestatelisting", "jobposting"), 3),
+    "ad_detail ": (("apartment", "singlefamilyresidence", "house"), 2),
+    "article": (("article", "newsarticle", "blogposting", "techarticle"), 3),
+    "faq": (("faqpage", "qapage", "question"), 3),
+    "search": (("searchresultspage",), 3),
+    "listing": (("collectionpage", "itemlist"), 3),
+    "contact": (("contactpage",), 3),
+}
 ORDER = ("homepage", "listing", "product", "ad_detail", "article", "legal", "contact", "faq", "search", "login")
 
 
@@ -144,8 +156,8 @@ def is_homepage(u: Column) -> Column:
     return raw_path(u).isin("", "/") & (query(u) == "")
 
 
-def template(u: Column, h1: Column, words: Column, depth: Column, h1_count: Column, h2_count: Column, internal: Column, external: Column, images: Column) -> Column:
-    """Page type by additive scores; under 2 points it is 'other'."""
+def template(u: Column, h1: Column, words: Column, depth: Column, h1_count: Column, h2_count: Column, internal: Column, external: Column, images: Column, types: Column | None = None, og_type: Column | None = None, listing_signals: Column | None = None, ad_signals: Column | None = None) -> Column:
+    """Page type by additive scores; under 2 points it is 'other'. types are those of structured data, each of which counts."""
     point = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     rules: dict[str, list[Column]] = {t: [F.lit(0)] for t in ORDER}
     for name, pattern, n in TEMPLATES:
@@ -161,6 +173,18 @@ def template(u: Column, h1: Column, words: Column, depth: Column, h1_count: Colu
     rules["faq"].append(point(h2_count >= 5, 1))
     for name in ("login", "search"):
         rules[name].append(point((words < 100) & (depth > 1), 1))
+    if types is not None:
+        for name, (kinds, n) in SCHEMA_TYPES.items():
+            rules[name.strip()].append(F.size(F.filter(types, lambda t, k=kinds: F.lower(t).isin(*k))) * n)
+    if og_type is not None:
+        rules["article"].append(point(F.lower(og_type).isin("article", "blog"), 2))
+        rules["product"].append(point(F.lower(og_type).isin("product", "product.item"), 2))
+        rules["homepage"].append(point((F.lower(og_type) == "website") & (depth == 0), 1))
+    if listing_signals is not None:
+        rules["listing"].append(point(listing_signals >= 1, 3))
+    if ad_signals is not None:
+        rules["ad_detail"].append(F.when(ad_signals > 0, 3).when(ad_signals < 0, -2).otherwise(0))
+        rules["product"].append(point(ad_signals < 0, 3))
     best = F.array_max(F.array(*[F.struct(reduce(lambda a, b: a + b, rules[t]).alias("n"), F.lit(-i).alias("place"), F.lit(t).alias("t")) for i, t in enumerate(ORDER)]))
     return F.when(is_homepage(u), "homepage").when(best["n"] < 2, "other").otherwise(best["t"])
 
@@ -220,3 +244,34 @@ def robots_allowed(u: Column, text: str, agent: str) -> Column:
 def is_private(u: Column) -> Column:
     """Hosts that name this machine or a private network."""
     return hostname(u).rlike(r"^(localhost|.*\.local|127\.|10\.|192\.168\.|169\.254\.|0\.0\.0\.0|172\.(1[6-9]|2[0-9]|3[01])\.|\[?::1\]?$|\[?f[cd])")
+
+
+def is_internal(u: Column, seed: str, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether the url's host is the seed's or one of those allowed."""
+    own = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", seed)
+    return hostname(u).isin(*([own[1].lower()] if own else []), *allowed)
+
+
+def frontier_verdict(u: Column, include: list[str] = (), exclude: list[str] = (), params: list[str] = ()) -> Column:
+    """'kept', 'not-included' if no include pattern fits, or 'excluded:' and the first exclude pattern that does; a pattern is a
+    regular expression, and ``params`` are query parameters each of which excludes."""
+    out, rules = F.lit("kept"), [*exclude, *(rf"[?&]{re.escape(p)}(=|&|$)" for p in params)]
+    for pattern in reversed(rules):
+        out = F.when(u.rlike(pattern), f"excluded:{pattern}").otherwise(out)
+    return F.when(~reduce(lambda a, b: a | b, (u.rlike(p) for p in include)), "not-included").otherwise(out) if include else out
+
+
+def budget_rule(u: Column, prefixes: list[str]) -> Column:
+    """The longest of the prefixes that the url's path has, or null."""
+    out = F.lit(None).cast("string")
+    for p in sorted(prefixes, key=len):
+        out = F.when(F.startswith(raw_path(u), F.lit(p)), p).otherwise(out)
+    return out
+
+
+def encoded_path(u: Column) -> Column:
+    """u with its path percent-encoded, slashes and what is encoded already left alone."""
+    p = raw_path(u)
+    safe = F.replace(F.replace(F.replace(F.url_encode(F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    head = F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    return F.concat(head, safe, F.substr(u, F.length(head) + F.length(p) + 1))

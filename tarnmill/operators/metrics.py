@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,35 @@ def trust_summary(p: DataFrame) -> DataFrame:
     return p.agg(F.countDistinct(F.when(a, F.col("author"))).alias("authors"), share(F.count_if(a) * 100, F.count("*"), 4).alias("author_coverage"), F.bool_or("has_about").alias("about"), F.bool_or("has_contact").alias("contact"), F.sum("citations").alias("citations"))
 
 
+def passage_summary(p: DataFrame) -> DataFrame:
+    """p (status_code, passages struct): means and numbers of pages over 200 pages that have passages."""
+    x = p.where((F.col("status_code") == 200) & F.col("passages").isNotNull()).select("passages.*")
+    return x.agg(F.count("*").alias("pages"), F.round(F.avg("score"), 6).alias("score"), F.round(F.avg("sections"), 6).alias("sections"), F.count_if("faq").alias("faq"), F.count_if("howto").alias("howto"), F.count_if("definitions").alias("definitions"))
+
+
+def answer_summary(p: DataFrame) -> DataFrame:
+    """p (status_code, answers struct): the same for answer readiness."""
+    x = p.where((F.col("status_code") == 200) & F.col("answers").isNotNull()).select("answers.*")
+    return x.agg(F.count("*").alias("pages"), F.round(F.avg("score"), 6).alias("score"), F.count_if("concise").alias("concise"), F.count_if("structured").alias("structured"), F.count_if("faq").alias("faq"), F.count_if("howto").alias("howto"))
+
+
+def topicality_summary(t: DataFrame) -> DataFrame:
+    """t as topicality() gives it: mean overlaps, pages of low (under 0.3) and of full (0.9 or more) consistency."""
+    return t.agg(F.count("*").alias("pages"), F.round(F.avg("title_body"), 6).alias("title_body"), F.round(F.avg("title_h1"), 6).alias("title_h1"), F.round(F.avg("consistency"), 6).alias("consistency"), F.count_if(F.col("consistency") < 0.3).alias("low"), F.count_if(F.col("consistency") >= 0.9).alias("full"))
+
+
+def with_anchors(t: DataFrame, titles: DataFrame, anchors: DataFrame) -> DataFrame:
+    """t as topicality() gives it, with anchor_title and consistency made anew where descriptive internal links (href, text) lead to
+    a page: the mean share of a link text's terms that titles (url, title) hold."""
+    own = titles.select(F.col("url").alias("_u"), T.terms(F.col("title")).alias("_t")).where(F.size("_t") > 0)
+    said = anchors.select("href", T.terms(F.col("text")).alias("_a")).where(F.size("_a") > 0).join(own, F.col("href") == F.col("_u"))
+    share_ = F.size(F.filter("_a", lambda x: F.array_contains(F.col("_t"), x))) / F.size("_a")
+    per = said.groupBy("_u").agg(F.round(F.avg(share_), 3).alias("_r"))
+    body = 0.3 * F.col("title_body") + 0.2 * F.col("title_h1") + 0.2 * F.col("heading_body")
+    out = t.join(per, F.col("url") == F.col("_u"), "left")
+    return out.withColumns({"anchor_title": F.coalesce("_r", "anchor_title"), "consistency": F.when(F.col("_r").isNull(), F.col("consistency")).otherwise(F.round(body + 0.3 * F.col("_r"), 3))}).drop("_u", "_r")
+
+
 def topicality(p: DataFrame) -> DataFrame:
     """p (url, title, h1, headings, body, anchor) -> overlaps of title, heading and anchor terms with the body, and their
     weighted sum. ``consistency`` has the anchors' part, ``body_only`` leaves it out. Pages of under 30 words or without a
@@ -99,12 +130,34 @@ def hreflang_issues(h: DataFrame) -> DataFrame:
 
 
 def response_ema(hits: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average of response times per key at the last hit: the recursion written out as weights by place."""
+    """Exponential moving average of response times per key at the last hit: the recursion written out as weights by place. Only
+    the last hits that a double can tell are read, 1e-20 of the weight lies beyond, so a key with most hits is not sorted whole."""
+    last = math.ceil(math.log(1e-20) / math.log(1 - alpha))
     back = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))
-    h = hits.select(key, "response_time", F.row_number().over(back).alias("r"))
+    h = hits.select(key, "ts", "seq", "response_time").withColumn("r", F.row_number().over(back)).where(F.col("r") <= last)
     n = hits.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"))
     w = F.when(F.col("r") == F.col("n"), F.pow(F.lit(1 - alpha), F.col("n") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("r") - 1))
-    return h.join(n, F.col(key) == F.col("_k")).groupBy(key).agg(F.round(F.sum(w * F.col("response_time")), 6).alias("ema"), F.count("*").alias("hits"))
+    return h.join(n, F.col(key) == F.col("_k")).groupBy(key).agg(F.round(F.sum(w * F.col("response_time")), 6).alias("ema"), F.max("n").alias("hits"))
+
+
+#: Factors of the adaptive delay, and answers that it waits for before it changes.
+BACK_OFF, SLOWER, FASTER, LEAST_ANSWERS = 2.0, 1.3, 0.9, 3
+
+
+def next_delay(delay: Column, status: Column, response_ms: Column, mean_ms: Column, answers: Column, streak: Column, reset_s: Column, remaining: Column, recent_429: Column, least: float, most: float, factor: float = 0.0, slow: float = 2.0, fast: float = 0.5) -> Column:
+    """The delay between requests to a host after one more answer, in ms: doubled after 429 (or up to the stated reset), raised with
+    the streak of errors after 503 and 504, else a multiple of the mean response if ``factor`` is set, slower after an answer of
+    ``slow`` times the mean, faster after one of ``fast`` times it unless a 429 is recent, or while requests remain."""
+    backed = F.greatest(delay * BACK_OFF, F.coalesce(reset_s, F.lit(0)) * 1000.0)
+    overload = delay * F.least(F.lit(BACK_OFF), 1.5 + 0.5 * streak)
+    if factor > 0:
+        calm = F.lit(factor) * mean_ms
+    else:
+        quick = (response_ms < mean_ms * fast) & ~recent_429
+        calm = F.when(response_ms > mean_ms * slow, delay * SLOWER).when(quick | (F.coalesce(remaining, F.lit(0)) > 10), delay * FASTER).otherwise(delay)
+    calm = F.when(answers < LEAST_ANSWERS, delay).otherwise(F.greatest(F.lit(least), calm))
+    new = F.when(status == 429, backed).when(status.isin(503, 504), overload).when(status.between(200, 399), calm).otherwise(delay)
+    return F.least(F.lit(most), new)
 
 
 def similar_pairs(v: DataFrame, least: float = 0.9, k: int | None = 100) -> DataFrame:

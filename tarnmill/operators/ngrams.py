@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stopwords import stopwords
 
-#: Words of web pages that say nothing.
-WEB_STOPWORDS = ("home", "page", "click", "read", "next", "previous", "back", "top", "menu", "close", "open", "search", "login", "sign", "submit", "loading")
 
-
-def ngrams(texts: DataFrame, n: int, stopwords: tuple[str, ...] = WEB_STOPWORDS, k: int = 100) -> DataFrame:
+def ngrams(texts: DataFrame, n: int, language: str = "en", k: int = 100) -> DataFrame:
     """texts (id, text) -> term, count, pages, weight: the k most frequent n-grams, ties to the smaller term. Texts of under
     50 bytes or 3 tokens do not count; with over 5 texts a term needs two pages. Weight is tf * ln(N / df), where tf is the
-    share of all n-grams' tokens."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    t = texts.where(F.octet_length("text") >= 50).select("id", T.tokens(F.col("text"), stop).alias("w")).where(F.size("w") >= 3)
-    grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) if n > 1 else F.col("w")
-    per = t.select("id", F.explode(grams).alias("term")).groupBy("term", "id").agg(F.count("*").alias("c"))
-    total = t.agg(F.count("*").alias("texts"), F.sum(F.size("w")).alias("tokens"))
-    out = per.groupBy("term").agg(F.sum("c").alias("count"), F.count("*").alias("pages")).crossJoin(F.broadcast(total))  # one row
-    weight = F.round(F.col("count") / F.col("tokens") * F.ln(F.col("texts") / F.col("pages")), 5)
+    share of all n-grams' tokens.
+
+    Each text is cut once. Its n-grams are sorted within the row, so that the first of each is known, and one shuffle by term,
+    summed before it, gives counts and pages; a row without a term per text gives the totals."""
+    stop = F.array(*[F.lit(w) for w in stopwords(language)])
+    t = texts.where(F.octet_length("text") >= 50).select(T.tokens(F.col("text"), stop).alias("w")).where(F.size("w") >= max(3, n))
+    gram = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(n)])) if n > 1 else F.col("w")
+    t = t.select(F.array_sort(gram).alias("g"))
+    new = F.transform("g", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(F.col("g"), F.greatest(i - 1, F.lit(0))) != x)).cast("long").alias("first")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("first")))
+    per = t.select(F.explode(F.concat(new, none)).alias("x")).groupBy("x.term").agg(F.count("*").alias("count"), F.sum("x.first").alias("pages"))
+    total = per.agg(F.sum(F.when(F.col("term").isNull(), F.col("count"))).alias("texts"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("count"))), F.lit(0)).alias("grams"))
+    out = per.where(F.col("term").isNotNull()).crossJoin(F.broadcast(total))  # one row
+    weight = F.round(F.col("count") / (F.col("grams") + (n - 1) * F.col("texts")) * F.ln(F.col("texts") / F.col("pages")), 5)
     return out.where((F.col("texts") <= 5) | (F.col("pages") >= 2)).select("term", "count", "pages", weight.alias("weight")).orderBy(F.desc("count"), "term").limit(k)
 
 

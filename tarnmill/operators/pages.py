@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import budget_rule
+
 #: Anchor texts that describe nothing, as the report counts them.
 GENERIC_ANCHORS = ("click here", "here", "read more", "more", "link", "this", "learn more", "continue")
 
@@ -459,3 +461,16 @@ def alerts(c: DataFrame) -> DataFrame:
     rules = (("high-error-rate", "critical", rate("errors"), 10, 1), ("high-5xx-rate", "critical", rate("server_errors"), 2, 1), ("low-indexability", "warning", F.col("pct_indexable"), 70, -1), ("slow-response-time", "warning", F.col("p90"), 3000, 1), ("duplicate-titles", "warning", rate("duplicate_titles"), 10, 1), ("duplicate-descriptions", "warning", rate("duplicate_descriptions"), 10, 1), ("missing-titles", "warning", rate("no_title"), 5, 1), ("missing-descriptions", "info", rate("no_description"), 10, 1), ("orphan-pages", "warning", rate("orphans"), 5, 1), ("low-active-rate", "info", F.col("pct_active"), 5, -1))
     fired = F.array(*[F.when((v * sign > limit * sign) & (F.col("total") > 0), F.struct(F.lit(name).alias("id"), F.lit(severity).alias("severity"), F.round(v, 4).alias("value"))) for name, severity, v, limit, sign in rules])
     return c.select(F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("a")).select("a.*")
+
+
+def budgeted(p: DataFrame, budgets: dict[str, int], order: str) -> DataFrame:
+    """rule, pages, kept and last_kept: the first urls, by ``order``, of each path prefix up to its budget; the longest prefix that fits
+    counts. Only as many rows as the largest budget are ranked, Spark cuts each partition's before it shuffles them."""
+    rule = budget_rule(F.col("url"), list(budgets))
+    q = p.select(F.col(order).alias("_o"), rule.alias("rule")).where(F.col("rule").isNotNull())
+    most = F.lit(0)
+    for name, n in budgets.items():
+        most = F.when(F.col("rule") == name, n).otherwise(most)
+    first = q.withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("_o"))).where(F.col("r") <= max(budgets.values())).where(F.col("r") <= most)
+    kept = first.groupBy(F.col("rule").alias("_r")).agg(F.count("*").alias("kept"), F.max("_o").alias("last_kept"))
+    return q.groupBy("rule").agg(F.count("*").alias("pages")).join(kept, F.col("rule") == F.col("_r"), "left").select("rule", "pages", F.coalesce("kept", F.lit(0)).alias("kept"), "last_kept")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
+
 BITS = 64
 
 
@@ -36,15 +39,31 @@ def fingerprints(docs: DataFrame, least_words: int = 30) -> DataFrame:
     return docs.where(F.size(F.split(F.trim("text"), r"\s+")) >= least_words).select("id", prints("text").alias("fingerprint"))
 
 
+def _key_blocks(n: int) -> int:
+    """How many blocks a key joins: more for larger tables, so that a key holds few fingerprints."""
+    return 2 if n < 1 << 20 else 3 if n < 1 << 26 else 4
+
+
+def near_keys(n: int, most: int = 6) -> list[list[tuple[int, int]]]:
+    """Runs (first bit, bits) whose bits make each key. Of most + r blocks r are equal in any two fingerprints ``most`` apart or
+    nearer, so every choice of r blocks is a key, and no pair is lost."""
+    r = _key_blocks(n)
+    cut = [i * BITS // (most + r) for i in range(most + r + 1)]
+    return [[(cut[i], cut[i + 1] - cut[i]) for i in some] for some in combinations(range(most + r), r)]
+
+
 def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
-    """a, b (fingerprints, a < b), distance of different fingerprints at most ``most`` apart. Of most + 1 bands one is equal;
-    equal fingerprints count once, so copies make no pairs."""
-    bands = most + 1
-    width = -(-BITS // bands)
-    d = prints.select("fingerprint").distinct()
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fingerprint", i * width).bitwiseAND((1 << width) - 1).alias("key")) for i in range(bands)])
+    """a, b (fingerprints, a < b), distance of different fingerprints at most ``most`` apart. Equal fingerprints count once, so
+    copies make no pairs. Candidates share a key of near_keys; a pair that shares several is looked at for the first alone."""
+    d = stored(prints.select("fingerprint").distinct(), "fingerprints")
+    every = near_keys(d.count(), most)
+    masks = [sum(((1 << size) - 1) << at for at, size in runs) for runs in every]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("key"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])
     k = d.select("fingerprint", F.explode(keys).alias("x")).select("fingerprint", "x.*")
-    o = k.select(F.col("fingerprint").alias("b"), F.col("band").alias("_n"), F.col("key").alias("_k"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = k.withColumnRenamed("fingerprint", "a").join(o, (F.col("band") == F.col("_n")) & (F.col("key") == F.col("_k")) & (F.col("a") < F.col("b")))
-    return pairs.where(distance <= most).select("a", "b", distance.alias("distance"), F.expr(f"({BITS} - bit_count(a ^ b)) * 100 div {BITS}").alias("similarity")).distinct()
+    o = k.select(F.col("fingerprint").alias("b"), F.col("key").alias("_n"), F.col("bits").alias("_k"))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    distance = F.bit_count(apart)
+    first = F.array_position(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: apart.bitwiseAND(m)), F.lit(0).cast("long")) - 1
+    pairs = k.withColumnRenamed("fingerprint", "a").join(o, (F.col("key") == F.col("_n")) & (F.col("bits") == F.col("_k")) & (F.col("a") < F.col("b"))).where(distance <= most).where(first == F.col("key"))
+    return pairs.select("a", "b", distance.alias("distance"), F.expr(f"({BITS} - bit_count(a ^ b)) * 100 div {BITS}").alias("similarity"))

@@ -158,10 +158,19 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPARE = r"regexp_replace(regexp_replace(regexp_replace({x}, '^https?://(www\.)?', ''), '#.*$', ''), '/+$', '')"
 
 
-def _pages_sql(v: int, name: str) -> str:
+def snapshot(spark: SparkSession, sf_dir: str, columns: dict[str, str], source: str) -> DataFrame:
+    """A snapshot of one's own columns."""
+    return _read(spark, sf_dir, columns, source)
+
+
+def snapshot_sql(columns: dict[str, str], source: str, name: str, where: str = "true") -> str:
     i = f"CASE WHEN status_code NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status_code WHEN contains(lower(coalesce(meta_robots, '')), 'noindex') THEN 'meta robots noindex' WHEN contains(lower(coalesce(x_robots, '')), 'noindex') THEN 'X-Robots-Tag noindex' WHEN coalesce(canonical, '') <> '' AND {_COMPARE.format(x='canonical')} <> {_COMPARE.format(x='final_url')} THEN 'canonicalized' ELSE '' END"
     c = "CASE WHEN robots_blocked THEN 'robots-blocked' WHEN reason <> '' THEN 'non-indexable' WHEN clicks > 0 OR sessions > 0 OR visitors > 0 THEN 'active' WHEN impressions > 0 THEN 'visible' ELSE 'indexable' END"
-    return f"{name}0 AS ({_sql(page_columns(v), 'orders')} WHERE {_KEPT[v]}), {name}1 AS (SELECT *, {i} AS reason FROM {name}0), {name} AS (SELECT *, reason = '' AS indexable, {c} AS classification, rtrim(url, '/') AS t FROM {name}1)"
+    return f"{name}0 AS ({_sql(columns, source)} WHERE {where}), {name}1 AS (SELECT *, {i} AS reason FROM {name}0), {name} AS (SELECT *, reason = '' AS indexable, {c} AS classification, rtrim(url, '/') AS t FROM {name}1)"
+
+
+def _pages_sql(v: int, name: str) -> str:
+    return snapshot_sql(page_columns(v), "orders", name, _KEPT[v])
 
 
 PAGES_SQL = f"WITH {_pages_sql(0, 'p')}, links AS (SELECT *, rtrim(dst, '/') AS t FROM ({_sql(LINKS, 'lineitem')})), hops AS ({_sql(HOPS, 'lineitem')} WHERE l_orderkey % 20 IN (1, 3)), sitemap AS (SELECT DISTINCT rtrim(url, '/') AS t FROM ({_sql({'url': page_url('(o_orderkey + 40)')}, 'orders')} WHERE o_orderkey % 3 > 0))\n"

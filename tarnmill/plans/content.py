@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.stopwords import stopwords
 from ..operators import compare as C
 from ..operators import logs as L
 from ..operators import merge as M
@@ -36,30 +37,56 @@ _LIVE = "NOT robots_blocked"
 _METRICS = {"pages": "count(*)", "blocked": "count(*) FILTER (robots_blocked)", "no_title": f"count(*) FILTER ({_LIVE} AND coalesce(title, '') = '')", "no_description": f"count(*) FILTER ({_LIVE} AND coalesce(description, '') = '')", "no_h1": f"count(*) FILTER ({_LIVE} AND h1_count = 0)", "many_h1": f"count(*) FILTER ({_LIVE} AND h1_count > 1)", "long_titles": f"count(*) FILTER ({_LIVE} AND length(title) > 60)", "short_titles": f"count(*) FILTER ({_LIVE} AND length(title) BETWEEN 1 AND 29)", "long_descriptions": f"count(*) FILTER ({_LIVE} AND length(description) > 160)", "thin": f"count(*) FILTER ({_LIVE} AND status_code = 200 AND word_count > 0 AND word_count < 200)", "broken": f"count(*) FILTER ({_LIVE} AND status_code >= 400)", "not_https": f"count(*) FILTER ({_LIVE} AND NOT starts_with(url, 'https://'))", "mixed": f"count(*) FILTER ({_LIVE} AND mixed_content)", "with_schema": f"count(*) FILTER ({_LIVE} AND has_schema)", "images": f"sum(images) FILTER ({_LIVE})", "images_missing_alt": f"sum(images_missing_alt) FILTER ({_LIVE})", "crawled": f"count(*) FILTER ({_LIVE})", "renderable": f"count(*) FILTER ({_LIVE} AND status_code BETWEEN 200 AND 299)", "indexable": f"count(*) FILTER ({_LIVE} AND classification IN ('indexable', 'visible', 'active'))", "visible": f"count(*) FILTER ({_LIVE} AND classification = 'visible')", "active": f"count(*) FILTER ({_LIVE} AND classification = 'active')", "non_indexable": f"count(*) FILTER ({_LIVE} AND classification = 'non-indexable')", "p50": f"quantile_cont(response_ms, 0.5) FILTER ({_LIVE})", "p90": f"quantile_cont(response_ms, 0.9) FILTER ({_LIVE})", "p99": f"quantile_cont(response_ms, 0.99) FILTER ({_LIVE})", "impressions": "sum(impressions)", "clicks": "sum(clicks)", "internal_links": "sum(internal_links)", "external_links": "sum(external_links)", "mean_depth": "round(avg(depth), 4)"}
 _DELTAS = ", d AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, round((SELECT CAST({x} AS DOUBLE) FROM a), 2) AS old_value, round((SELECT CAST({x} AS DOUBLE) FROM b), 2) AS new_value, round((SELECT CAST({x} AS DOUBLE) FROM b) - (SELECT CAST({x} AS DOUBLE) FROM a), 2) AS delta" for m, x in _METRICS.items()) + ") "
 _pair("compare_deltas", C.deltas, _DELTAS + "SELECT * FROM d")
-_pair("compare_findings", lambda o, n: C.findings(o, n), None)
+_W = ", w AS (SELECT " + ", ".join(f"max(delta) FILTER (metric = '{m}') AS {m}_d, max(old_value) FILTER (metric = '{m}') AS {m}_o" for m in _METRICS) + f""" FROM d), g AS (SELECT count(*) AS gone, coalesce(sum(coalesce(clicks, 0)), 0) AS gone_clicks FROM a WHERE url NOT IN (SELECT url FROM b)),
+v AS (SELECT count(*) FILTER (f = '2xx' AND t IN ('4xx', '5xx')) AS worse, count(*) FILTER (f IN ('4xx', '5xx') AND t = '2xx') AS fixed FROM (SELECT {_G('a')} AS f, {_G('b')} AS t FROM a JOIN b ON a.url = b.url)), x AS (SELECT * FROM w, g, v) """
+_FINDINGS = (
+    ("coverage", "gone > 0", "CASE WHEN gone / greatest(pages_o, 1) * 100 > 10 THEN 'critical' WHEN gone / greatest(pages_o, 1) * 100 > 5 THEN 'warning' ELSE 'info' END", "gone"),
+    ("coverage-traffic", "gone_clicks > 0", "'critical'", "gone_clicks"),
+    ("status-worse", "worse > 0", "'critical'", "worse * 10"),
+    ("status-fixed", "fixed > 0", "'info'", "fixed"),
+    ("indexability", "indexable_d < 0", "'warning'", "-indexable_d * 5"),
+    ("titles", "no_title_d > 0", "'warning'", "no_title_d * 3"),
+    ("descriptions", "no_description_d > 0", "'warning'", "no_description_d * 2"),
+    ("thin-content", "thin_d > 0", "'warning'", "thin_d"),
+    ("response-time", "abs(p90_d) > 500", "CASE WHEN p90_d > 0 THEN 'warning' ELSE 'info' END", "trunc(abs(p90_d) / 100)"),
+    ("clicks-lost", "clicks_d < 0", "CASE WHEN -clicks_d / greatest(clicks_o, 1) * 100 > 10 THEN 'critical' ELSE 'warning' END", "-clicks_d"),
+    ("clicks-gained", "clicks_d > 0", "'info'", "clicks_d"),
+    ("mixed-content", "mixed_d > 0", "'warning'", "mixed_d"),
+)
+_pair("compare_findings", lambda o, n: C.findings(o, n), _DELTAS + _W + " UNION ALL ".join(f"SELECT '{s}' AS section, {v} AS severity, CAST({i} AS BIGINT) AS impact FROM x WHERE {c}" for s, c, v, i in _FINDINGS))
 _RULES = [("blog", "/blog/"), ("secure", "^https:")]
 _SEG = "(SELECT segment, count(*) AS pages, sum(coalesce(clicks, 0)) AS clicks FROM {t} JOIN (VALUES ('blog', '/blog/'), ('secure', '^https:')) v(segment, r) ON regexp_matches(url, r) GROUP BY 1)"
 _pair("compare_segments", lambda o, n: C.segment_comparison(o, n, _RULES), f"SELECT coalesce(x.segment, y.segment) AS segment, coalesce(x.pages, 0) AS old_pages, CAST(coalesce(x.clicks, 0) AS BIGINT) AS old_clicks, coalesce(y.pages, 0) AS new_pages, CAST(coalesce(y.clicks, 0) AS BIGINT) AS new_clicks FROM {_SEG.format(t='a')} x FULL JOIN {_SEG.format(t='b')} y ON x.segment = y.segment")
-_pair("diff_mapped", lambda o, n: C.diff(C.mapped(o, [("^http:", "https:"), ("//example[.]com", "//www.example.com")]), C.mapped(n, [("^http:", "https:"), ("//example[.]com", "//www.example.com")])).groupBy("state").agg(F.count("*").alias("pages")), None)
+_MAP = [("^http:", "https:"), ("//example[.]com", "//www.example.com")]
+_MAPPED = "SELECT * REPLACE (regexp_replace(regexp_replace(url, '^http:', 'https:'), '//example[.]com', '//www.example.com') AS url) FROM "
+_pair("diff_mapped", lambda o, n: C.diff(C.mapped(o, _MAP), C.mapped(n, _MAP)).groupBy("state").agg(F.count("*").alias("pages")), f", a2 AS ({_MAPPED}a), b2 AS ({_MAPPED}b) SELECT state, count(*) AS pages FROM (SELECT CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN ({_SAME}) <> '' THEN 'changed' ELSE 'unchanged' END AS state FROM a2 a FULL JOIN b2 b ON a.url = b.url) GROUP BY 1")
 
 
 # --- log x crawl --------------------------------------------------------------------------------------------------
 
-_LOG_PAGES = {"url": "'https://www.example.com' || (CASE o_orderkey % 6 WHEN 0 THEN '/api/v1/users/' || CAST(o_orderkey % 50 AS STRING) WHEN 1 THEN '/tag/seo/' || CAST(o_orderkey % 50 AS STRING) || '/' WHEN 2 THEN '/docs/a/b/' || CAST(o_orderkey % 50 AS STRING) WHEN 3 THEN '/p/' || CAST(o_orderkey % 50 AS STRING) WHEN 4 THEN '/search' ELSE '/only/' || CAST(o_orderkey % 9 AS STRING) END)"}
-
-
-def _crawl(spark, sf_dir):
-    cols = A.page_columns(0) | _LOG_PAGES | {"final_url": "CASE WHEN o_orderkey % 50 IN (1, 3) THEN 'https://www.example.com/elsewhere' ELSE " + _LOG_PAGES["url"] + " END", "canonical": "CASE WHEN o_orderkey % 50 = 8 THEN 'https://www.example.com/other' END", "status_code": "CASE o_orderkey % 50 WHEN 5 THEN 404 WHEN 6 THEN 301 ELSE 200 END", "meta_robots": "CASE WHEN o_orderkey % 50 = 7 THEN 'noindex' END", "x_robots": "CAST(NULL AS STRING)"}
-    return table(spark, sf_dir, "orders").where("o_orderkey < 300").selectExpr(*[f"{x} AS {c}" for c, x in cols.items()]).dropDuplicates(["url"])
+_LOG_URL = "'https://www.example.com' || (CASE o_orderkey % 6 WHEN 0 THEN '/api/v1/users/' || CAST(o_orderkey AS STRING) WHEN 1 THEN '/tag/seo/' || CAST(o_orderkey AS STRING) || '/' WHEN 2 THEN '/docs/a/b/' || CAST(o_orderkey AS STRING) WHEN 3 THEN '/p/' || CAST(o_orderkey AS STRING) WHEN 4 THEN '/search?q=test' || CAST(o_orderkey AS STRING) ELSE '/only/' || CAST(o_orderkey AS STRING) END)"
+_CRAWL = A.page_columns(0) | {"url": _LOG_URL, "final_url": f"CASE WHEN o_orderkey % 50 IN (1, 3) THEN 'https://www.example.com/elsewhere' ELSE {_LOG_URL} END", "canonical": "CASE WHEN o_orderkey % 50 = 8 THEN 'https://www.example.com/other' END", "status_code": "CASE o_orderkey % 50 WHEN 5 THEN 404 WHEN 6 THEN 301 ELSE 200 END", "meta_robots": "CASE WHEN o_orderkey % 50 = 7 THEN 'noindex' END", "x_robots": "CAST(NULL AS STRING)"}
+_GROUP = "CASE WHEN {x} >= 500 THEN 5 WHEN {x} >= 400 THEN 4 WHEN {x} >= 300 THEN 3 WHEN {x} >= 200 THEN 2 ELSE 0 END"
+_MERGE = A.HITS_SQL + ", " + A.snapshot_sql(_CRAWL, "orders", "c") + r""", cp AS (SELECT *, substr(url, 24) AS cp FROM c),
+kk AS (SELECT cp AS key, 0 AS rank, * FROM cp UNION ALL SELECT CASE WHEN ends_with(cp, '/') THEN cp[:-2] ELSE cp || '/' END, 1, * FROM cp),
+best AS (SELECT * FROM kk WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank, url) = 1),
+u AS (SELECT u.*, a.url IS NOT NULL AS whole, coalesce(a.url, b.url) AS curl FROM urls u LEFT JOIN best a ON a.key = u.path LEFT JOIN best b ON b.key = split_part(u.path, '?', 1)),
+met AS (SELECT u.path, u.hits, u.bot_hits, u.status AS log_status, cp.* EXCLUDE (cp), cp.cp AS crawl_path FROM u LEFT JOIN cp ON cp.url = u.curl),
+merged AS (SELECT path, true AS in_logs, url IS NOT NULL AS in_crawl, hits, bot_hits, log_status, status_code AS crawl_status, CASE WHEN url IS NULL THEN 'orphan_crawled' WHEN status_code BETWEEN 300 AND 399 OR final_url <> url THEN 'redirect_waste' WHEN status_code >= 400 THEN 'error_pages' WHEN NOT indexable THEN CASE WHEN bot_hits > 0 THEN 'crawl_waste' ELSE 'crawled_not_indexed' END WHEN coalesce(canonical, '') <> '' AND substr(canonical, 24) <> crawl_path AND bot_hits > 0 THEN 'crawl_waste' ELSE 'healthy' END AS segment,
+ coalesce(log_status > 0 AND """ + _GROUP.format(x="log_status") + " <> " + _GROUP.format(x="status_code") + r""", false) AS mismatch FROM met
+UNION ALL SELECT cp, false, true, 0, 0, NULL, arg_min(status_code, url), 'uncrawled_indexable', false FROM cp WHERE cp NOT IN (SELECT crawl_path FROM met WHERE crawl_path IS NOT NULL) GROUP BY 1)
+"""
 
 
 def _merged(spark, sf_dir):
-    return M.merged(L.url_stats(A.hits(spark, sf_dir)), _crawl(spark, sf_dir))
+    return M.merged(L.url_stats(A.hits(spark, sf_dir)), A.snapshot(spark, sf_dir, _CRAWL, "orders"))
 
 
-query(None, "merge_rows")(_merged)
-query(None, "merge_summary")(lambda spark, sf_dir: M.summary(_merged(spark, sf_dir)))
-query(None, "merge_query")(lambda spark, sf_dir: M.query(_merged(spark, sf_dir), search="p", coverage="both", limit=50))
+query(_MERGE + "SELECT * FROM merged", "merge_rows")(lambda spark, sf_dir: _merged(spark, sf_dir).drop("reason"))
+query(_MERGE + "SELECT segment, count(*) AS pages, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(bot_hits) AS BIGINT) AS bot_hits, count(*) FILTER (mismatch) AS mismatches FROM merged GROUP BY 1", "merge_summary")(lambda spark, sf_dir: M.summary(_merged(spark, sf_dir)))
+query(_MERGE + "SELECT * FROM merged WHERE contains(path, 'p') AND in_logs AND in_crawl ORDER BY bot_hits DESC, path LIMIT 50", "merge_query")(lambda spark, sf_dir: M.query(_merged(spark, sf_dir), search="p", coverage="both", limit=50).drop("reason"))
+query(_MERGE + ", r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY bot_hits DESC, hits DESC, path) AS n FROM merged) SELECT segment, path, bot_hits FROM r WHERE n <= CASE segment WHEN 'crawl_waste' THEN 200 WHEN 'orphan_crawled' THEN 200 WHEN 'uncrawled_indexable' THEN 200 WHEN 'redirect_waste' THEN 100 ELSE 50 END", "merge_samples")(lambda spark, sf_dir: M.samples(_merged(spark, sf_dir)).select("segment", "path", "bot_hits"))
+query(_MERGE + "SELECT CASE segment WHEN 'orphan_crawled' THEN 'bots reach this url, the crawl found no link to it' WHEN 'uncrawled_indexable' THEN 'in the crawl, no bot came in the time of the logs' WHEN 'error_pages' THEN 'the crawler was answered with HTTP ' || crawl_status ELSE segment END AS kind, count(*) AS pages FROM merged GROUP BY 1", "merge_reasons")(lambda spark, sf_dir: _merged(spark, sf_dir).groupBy(F.when(F.col("segment").isin("orphan_crawled", "uncrawled_indexable", "error_pages"), F.col("reason")).otherwise(F.col("segment")).alias("kind")).agg(F.count("*").alias("pages")))
 
 
 # --- urls ---------------------------------------------------------------------------------------------------------
@@ -137,23 +164,22 @@ def url_robots(spark, sf_dir):
     return out[0].unionByName(out[1]).groupBy("agent", "allowed").agg(F.count("*").alias("pages"))
 
 
-@query(A.PAGES_SQL + "SELECT verdict, count(*) AS pages FROM (SELECT CASE WHEN NOT regexp_matches(url, '/(blog|product|faq)/') THEN 'not-included' WHEN regexp_matches(url, '[?]') THEN 'excluded:[?]' WHEN regexp_matches(url, '/1[0-9]/') THEN 'excluded:/1[0-9]/' ELSE 'kept' END AS verdict FROM p) GROUP BY 1")
+@query(A.PAGES_SQL + "SELECT verdict, count(*) AS pages FROM (SELECT CASE WHEN NOT regexp_matches(url, '/(blog|product|faq)/') THEN 'not-included' WHEN regexp_matches(url, '/1[0-9]/') THEN 'excluded:/1[0-9]/' WHEN regexp_matches(url, '[?&]page(=|&|$)') THEN 'excluded:[?&]page(=|&|$)' ELSE 'kept' END AS verdict FROM p) GROUP BY 1")
 def url_frontier_filter(spark, sf_dir):
     """Include and exclude patterns; what is excluded counts for its first pattern."""
-    u, v = F.col("url"), F.lit("kept")
-    for pattern in reversed(["[?]", "/1[0-9]/"]):
-        v = F.when(u.rlike(pattern), f"excluded:{pattern}").otherwise(v)
-    return A.pages(spark, sf_dir).select(F.when(~u.rlike("/(blog|product|faq)/"), "not-included").otherwise(v).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("pages"))
+    v = U.frontier_verdict(F.col("url"), ["/(blog|product|faq)/"], ["/1[0-9]/"], ["page"])
+    return A.pages(spark, sf_dir).select(v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("pages"))
 
 
-@query(A.PAGES_SQL + "SELECT rule, count(*) AS pages, count(*) FILTER (r <= 25) AS kept FROM (SELECT rule, row_number() OVER (PARTITION BY rule ORDER BY k) AS r FROM (SELECT k, CASE WHEN contains(url, '/blog/8/') THEN '/blog/8/' WHEN contains(url, '/blog/') THEN '/blog/' END AS rule FROM p) WHERE rule IS NOT NULL) GROUP BY 1")
-def url_path_budget(spark, sf_dir):
-    """The first 25 urls of each rule's prefix, the longest prefix first."""
-    from pyspark.sql import Window
+@query(A.PAGES_SQL + "SELECT internal, count(*) AS links FROM (SELECT regexp_extract(dst, '^[a-z]+://([^/?#:]*)', 1) IN ('www.example.com', 'other.example.org') AS internal FROM links) GROUP BY 1")
+def url_internal(spark, sf_dir):
+    return A.links(spark, sf_dir).groupBy(U.is_internal(F.col("dst"), A.SEED, ("other.example.org",)).alias("internal")).agg(F.count("*").alias("links"))
 
-    u = F.col("url")
-    p = A.pages(spark, sf_dir).select("k", F.when(F.contains(u, F.lit("/blog/8/")), "/blog/8/").when(F.contains(u, F.lit("/blog/")), "/blog/").alias("rule")).where(F.col("rule").isNotNull())
-    return p.withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("k"))).groupBy("rule").agg(F.count("*").alias("pages"), F.count_if(F.col("r") <= 25).alias("kept"))
+
+@query(A.PAGES_SQL + ", q AS (SELECT k, CASE WHEN starts_with(x, '/blog/8/') THEN '/blog/8/' WHEN starts_with(x, '/blog/') THEN '/blog/' WHEN starts_with(x, '/faq/') THEN '/faq/' END AS rule FROM (SELECT k, regexp_replace(url, '^[a-z]+://[^/]*', '') AS x FROM p)) SELECT rule, count(*) AS pages, least(count(*), CASE rule WHEN '/faq/' THEN 7 ELSE 25 END) AS kept, (SELECT k FROM (SELECT k, rule AS r, row_number() OVER (PARTITION BY rule ORDER BY k) AS n FROM q) WHERE r = q.rule AND n = least((SELECT count(*) FROM q z WHERE z.rule = q.rule), CASE q.rule WHEN '/faq/' THEN 7 ELSE 25 END)) AS last_kept FROM q WHERE rule IS NOT NULL GROUP BY 1")
+def url_path_budget(spark, sf_dir):
+    """The first urls of each rule's prefix up to its budget, the longest prefix first."""
+    return P.budgeted(A.pages(spark, sf_dir), {"/blog/": 25, "/blog/8/": 25, "/faq/": 7}, "k")
 
 
 # --- texts --------------------------------------------------------------------------------------------------------
@@ -170,7 +196,7 @@ def text_readability(spark, sf_dir):
     return d.where("words > 0").withColumn("grade", T.grade(F.col("words"), F.col("sentences"), F.col("syllables")))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in N.WEB_STOPWORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in stopwords()) + "]"
 _TOKENS = f"""WITH t AS (SELECT doc_id, list_filter(list_transform({_FIELDS.format(t="regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s''-]', ' ', 'g')")}, lambda w: trim(w, '''-')), lambda w: strlen(w) >= 2 AND NOT list_contains({_STOP}, w) AND NOT regexp_matches(w, '^\\p{{Nd}}+$')) AS w FROM documents WHERE strlen(text) >= 50), d AS (SELECT * FROM t WHERE len(w) >= 3)"""
 
 
@@ -199,4 +225,10 @@ def text_conversations(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"), F.sum(F.char_length("text")).alias("chars"))
 
 
-query(None, "ngram_changes")(lambda spark, sf_dir: N.changes(*[N.ngrams(table(spark, sf_dir, "documents").where(F.col("lang") == x).select(F.col("doc_id").alias("id"), "text"), 2, k=200) for x in ("en", "fr")]))
+_LIST = "SELECT term, count, pages FROM (" + _grams(2).replace(" LIMIT 100", " LIMIT 200").replace("FROM documents WHERE", "FROM documents WHERE lang = '{x}' AND") + ")"
+_ONE = "(SELECT '{kind}' AS kind, term, count, pages FROM {a} WHERE term NOT IN (SELECT term FROM {b}) ORDER BY count DESC, term LIMIT 30)"
+
+
+@query("WITH o AS (" + _LIST.replace("{x}", "en") + "), n AS (" + _LIST.replace("{x}", "fr") + ") " + _ONE.format(kind="emerging", a="n", b="o") + " UNION ALL " + _ONE.format(kind="declining", a="o", b="n"))
+def ngram_changes(spark, sf_dir):
+    return N.changes(*[N.ngrams(table(spark, sf_dir, "documents").where(F.col("lang") == x).select(F.col("doc_id").alias("id"), "text"), 2, k=200) for x in ("en", "fr")])

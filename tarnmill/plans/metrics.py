@@ -45,12 +45,14 @@ def report_card_score(spark, sf_dir):
     return M.card_score(c)
 
 
-_LANG = "WITH h AS (SELECT 'https://e.example/' || CAST(o_orderkey % 60 AS VARCHAR) AS url, CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'x-default' ELSE 'de' END AS lang, 'https://e.example/' || CAST(o_orderkey * 7 % 90 AS VARCHAR) AS href FROM orders WHERE o_orderkey < 400) "
+_LANG = "WITH h AS (SELECT 'https://e.example/' || CAST(o_orderkey AS VARCHAR) AS url, CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'x-default' ELSE 'de' END AS lang, 'https://e.example/' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey * 7 % 9000 END AS VARCHAR) AS href FROM orders UNION ALL SELECT 'https://e.example/' || CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN 'x-default' ELSE 'it' END, 'https://e.example/' || CAST(o_orderkey + o_orderkey % 2 AS VARCHAR) FROM orders) "
 
 
 @query(_LANG + "SELECT DISTINCT url, 'missing-self' AS issue FROM h GROUP BY url HAVING NOT bool_or(href = url) UNION SELECT url, 'missing-x-default' FROM h GROUP BY url HAVING NOT bool_or(lang = 'x-default') UNION SELECT a.url, 'missing-return-link' FROM h a WHERE a.href <> a.url AND a.href IN (SELECT url FROM h) AND NOT EXISTS (SELECT 1 FROM h b WHERE b.url = a.href AND b.href = a.url)")
 def hreflang_issues(spark, sf_dir):
-    h = table(spark, sf_dir, "orders").where("o_orderkey < 400").selectExpr("'https://e.example/' || CAST(o_orderkey % 60 AS STRING) AS url", "CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'x-default' ELSE 'de' END AS lang", "'https://e.example/' || CAST(o_orderkey * 7 % 90 AS STRING) AS href")
+    o, u = table(spark, sf_dir, "orders"), "'https://e.example/' || CAST({} AS STRING) AS {}"
+    h = o.selectExpr(u.format("o_orderkey", "url"), "CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'x-default' ELSE 'de' END AS lang", u.format("CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey * 7 % 9000 END", "href"))
+    h = h.unionByName(o.selectExpr(u.format("o_orderkey", "url"), "CASE WHEN o_orderkey % 5 = 0 THEN 'x-default' ELSE 'it' END AS lang", u.format("o_orderkey + o_orderkey % 2", "href")))
     return M.hreflang_issues(h)
 
 
