@@ -7,6 +7,8 @@ smaller name.
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,13 +229,24 @@ def ip_number(ip: Column) -> Column:
     return ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
 
 
+def ip6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address; null for anything else."""
+    low = F.lower(ip)
+    group = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = group(F.split_part(low, F.lit("::"), F.lit(1))), group(F.split_part(low, F.lit("::"), F.lit(2)))
+    every = F.when(F.contains(low, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)).otherwise(F.split(low, ":"))
+    return F.when(F.contains(ip, F.lit(":")) & (F.size(every) == 8), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def in_ranges(hits: DataFrame, ranges: list[tuple[str, str]]) -> DataFrame:
     """Hits with the label of the first range (cidr, label) that holds their ip: a chain of comparisons, as ranges are a
     parameter of a few dozen entries."""
-    n, out = ip_number(F.col("ip")), F.lit(None).cast("string")
+    n, six, out = ip_number(F.col("ip")), ip6_digits(F.col("ip")), F.lit(None).cast("string")
     for cidr, label in reversed(ranges):
-        base, bits = cidr.split("/")
-        a, b, c, d = map(int, base.split("."))
-        low = (((a * 256 + b) * 256 + c) * 256 + d) >> (32 - int(bits)) << (32 - int(bits))
-        out = F.when(n.between(low, low + 2 ** (32 - int(bits)) - 1), label).otherwise(out)
+        net = ipaddress.ip_network(cidr, strict=False)
+        if net.version == 4:
+            holds = n.between(int(net.network_address), int(net.broadcast_address))
+        else:
+            holds = six.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+        out = F.when(holds, label).otherwise(out)
     return hits.withColumn("range", out)

@@ -400,8 +400,8 @@ def issue_counts(p: DataFrame) -> DataFrame:
 CUMULATIVE = {"indexable": ("indexable", "visible", "active"), "visible": ("visible", "active")}
 
 
-def query(p: DataFrame, search: str = "", status: str = "", indexable: str = "", template: str = "", classification: str = "", problem: str = "", robots_blocked: str = "", sort: str = "url", descending: bool = False, offset: int = 0, limit: int = 100) -> DataFrame:
-    """The page list: all filters hold, then sort with url as tie-break, then offset and limit (500 at most)."""
+def filtered(p: DataFrame, search: str = "", status: str = "", indexable: str = "", template: str = "", classification: str = "", problem: str = "", robots_blocked: str = "") -> DataFrame:
+    """The pages that all filters keep, classified."""
     p = classified(p)
     p = with_duplicate_counts(p) if problem.startswith("duplicate") else p
     keep = [F.lit(True)]
@@ -417,8 +417,12 @@ def query(p: DataFrame, search: str = "", status: str = "", indexable: str = "",
         keep.append(issue(problem))
     if search:
         keep.append(F.contains(F.lower("url"), F.lit(search.lower())))
-    out = p.where(reduce(lambda a, b: a & b, keep))
-    return out.orderBy(F.desc(sort) if descending else F.asc(sort), "url").offset(offset).limit(min(limit, 500))
+    return p.where(reduce(lambda a, b: a & b, keep))
+
+
+def query(p: DataFrame, sort: str = "url", descending: bool = False, offset: int = 0, limit: int = 100, **filters: str) -> DataFrame:
+    """The page list: all filters hold, then sort with url as tie-break, then offset and limit (500 at most)."""
+    return filtered(p, **filters).orderBy(F.desc(sort) if descending else F.asc(sort), "url").offset(offset).limit(min(limit, 500))
 
 
 def status_filter(token: str, column: str = "status_code") -> Column:

@@ -7,6 +7,8 @@ status, which parse_errors counts. Times keep the line's own wall clock. Missing
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,10 +161,42 @@ def sniff(sample: list[str]) -> tuple[str, list[str] | None]:
     return ("csv" if best == "cloudfront" and header and any("," in x for x in sample[:1]) else best), header
 
 
+def files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The files under paths, patterns and folders included, as the file system lists them."""
+    jvm, out = spark.sparkContext._jvm, []
+    for path in [paths] if isinstance(paths, str) else paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(at) or ():
+            inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            out += [x.getPath().toString() for x in inside if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def formats(spark: SparkSession, paths: str | list[str], sample: int = 50, at_once: int = 16) -> tuple[dict[tuple, list[str]], list[str]]:
+    """((format, header) -> files, files that cannot be read). Each file's first lines tell its own format; a look reads no more."""
+
+    def look(path: str):
+        try:
+            return path, sniff([r.value for r in spark.read.text(path).limit(sample).collect()])
+        except Exception:  # an unreadable file must not stop the others
+            return path, None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        seen = list(pool.map(look, files(spark, paths)))
+    groups: dict[tuple, list[str]] = {}
+    for path, found in seen:
+        if found is not None:
+            groups.setdefault((found[0], tuple(found[1] or ())), []).append(path)
+    return groups, [path for path, found in seen if found is None]
+
+
 def read(spark: SparkSession, paths: str | list[str], kind: str | None = None, pattern: str | None = None, sample: int = 50) -> DataFrame:
-    """Log files, compressed or not; the format is told from the first lines unless given."""
-    lines = spark.read.text(paths)
-    header = None
-    if kind is None and pattern is None:
-        kind, header = sniff([r.value for r in lines.limit(sample).collect()])
-    return parse(lines, kind or "combined", header, pattern)
+    """Log files, compressed or not, each in a format of its own unless one is given. Files that cannot be read are left out; it is an
+    error if that is all of them."""
+    if kind is not None or pattern is not None:
+        return parse(spark.read.text(paths), kind or "combined", None, pattern)
+    groups, bad = formats(spark, paths, sample)
+    if not groups:
+        raise FileNotFoundError(f"no log file can be read: {bad or paths}")
+    return reduce(DataFrame.unionByName, [parse(spark.read.text(some), kind, list(header) or None) for (kind, header), some in groups.items()])
