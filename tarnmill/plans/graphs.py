@@ -67,18 +67,9 @@ def graph_dilution(spark, sf_dir):
     return G.dilution(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
 
 
-query(None, "graph_subgraph")(lambda spark, sf_dir: G.subgraph(_graph(spark, sf_dir)[1], HOME, 2, 100))
 query(None, "graph_centralities")(lambda spark, sf_dir: G.centralities(*_graph(spark, sf_dir)))
-query(None, "graph_pagerank")(lambda spark, sf_dir: G.pagerank(*_graph(spark, sf_dir), rounds=20))
-
-
-@query(None)
-def graph_suggestions(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    d = G.degrees(nodes, edges)
-    p = A.pages(spark, sf_dir).select(F.col("k").alias("_k"), "page_rank", "depth")
-    both = d.join(p, F.col("id") == F.col("_k"))
-    return G.suggestions(both, both, edges)
+_RANKS = _RANK[: _RANK.index(", r1 AS")].replace("r0 AS (", "r0 AS MATERIALIZED (").replace("dg AS (", "dg AS MATERIALIZED (").replace("edges AS (", "edges AS MATERIALIZED (") + "".join(f", r{i} AS MATERIALIZED (SELECT k AS id, 0.15 / n + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM dg)) / n + 0.85 * coalesce(g, 0) AS r FROM p CROSS JOIN n LEFT JOIN (SELECT dst, sum(r / d) AS g FROM edges JOIN dg USING (src) JOIN r{i - 1} ON id = src GROUP BY 1) ON dst = k)" for i in range(1, 13))
+query(_RANKS + " SELECT id, round(r / (SELECT max(r) FROM r12) * 10, 2) AS score FROM r12", "graph_pagerank")(lambda spark, sf_dir: G.pagerank(*_graph(spark, sf_dir), rounds=12, epsilon=0.0))
 
 
 def _vectors(spark, sf_dir):
@@ -93,13 +84,21 @@ def vector_semantic_links(spark, sf_dir):
     return G.semantic_links(v.crossJoin(F.broadcast(n)).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % F.col("_n")).alias("dst")).distinct(), v)
 
 
-@query(None)
+_PRINTS = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\x{85}\x{a0}]+'), lambda w: w <> '') AS w FROM documents WHERE len(regexp_split_to_array(trim(text), '\s+')) >= 30),
+g AS (SELECT doc_id, ('0x' || left(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 16))::UBIGINT AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+b AS (SELECT doc_id, i, 2 * sum((n >> ((7 - i // 8) * 8 + i % 8)) & 1) > count(*) AS up FROM g, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT doc_id AS id, CAST(u - CASE WHEN u >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS f FROM (SELECT doc_id, sum(CASE WHEN up THEN (1::HUGEINT << i) ELSE 0 END) AS u FROM b GROUP BY 1)),
+q AS MATERIALIZED (SELECT a.f AS a, b.f AS b, bit_count(xor(a.f, b.f)) AS d FROM (SELECT DISTINCT f FROM f) a JOIN (SELECT DISTINCT f FROM f) b ON a.f < b.f AND bit_count(xor(a.f, b.f)) <= 6)
+"""
+
+
+@query(_PRINTS + "SELECT a, b, CAST(d AS INTEGER) AS distance, (64 - CAST(d AS BIGINT)) * 100 // 64 AS similarity FROM q")
 def near_duplicate_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return S.near_pairs(S.fingerprints(docs))
 
 
-@query(None)
+@query(_PRINTS + ", e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT DISTINCT f, f AS g FROM f UNION SELECT r.f, e.b FROM r JOIN e ON e.a = r.g) SELECT f.id, (SELECT min(g) FROM r WHERE r.f = f.f) AS group_id FROM f")
 def near_duplicate_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     prints = S.fingerprints(docs)

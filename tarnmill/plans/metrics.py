@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import metrics as M
-from ..operators import pages as P
 from ..tables import table
 from . import adapters as A
 from .registry import query
@@ -26,23 +26,35 @@ query(A.PAGES_SQL + "SELECT count(*) AS pages, round(avg(richness), 6) AS mean,
 query("SELECT count(DISTINCT CASE WHEN s_suppkey % 3 > 0 THEN s_name END) AS authors, round(count(*) FILTER (s_suppkey % 3 > 0) * 100 / count(*), 4) AS author_coverage, bool_or(s_suppkey % 7 = 0) AS about, bool_or(s_suppkey % 5 = 0) AS contact, CAST(sum(s_suppkey % 4) AS BIGINT) AS citations FROM supplier", "page_trust")(lambda spark, sf_dir: M.trust_summary(table(spark, sf_dir, "supplier").selectExpr("CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS author", "s_suppkey % 7 = 0 AS has_about", "s_suppkey % 5 = 0 AS has_contact", "s_suppkey % 4 AS citations")))
 
 
-@query(None)
-def page_topicality(spark, sf_dir):
+_TERMS = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: length(x) >= 2)"
+_SHARE = lambda x: f"round(coalesce(len(list_filter({x}, lambda y: list_contains(bs, y))) / nullif(len({x}), 0), 0), 3)"
+_ALIKE = lambda x, y: f"round(coalesce(len(list_intersect({x}, {y})) / nullif(len(list_distinct(list_concat({x}, {y}))), 0), 0), 3)"
+_TOPICS = f"""WITH d AS (SELECT doc_id, text, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, array_to_string(string_split(text, ' ')[4:9], ' ') AS h1 FROM documents),
+t AS (SELECT doc_id, {_TERMS.format(t='title')} AS ts, {_TERMS.format(t='h1')} AS hs, list_distinct({_TERMS.format(t='text')}) AS bs FROM d WHERE title <> '' AND len(list_filter(regexp_split_to_array(text, '[\\s\\x{{85}}\\x{{a0}}]+'), lambda w: w <> '')) >= 30),
+m AS (SELECT CAST(doc_id AS VARCHAR) AS url, {_SHARE('ts')} AS title_body, {_ALIKE('ts', 'hs')} AS title_h1, {_SHARE('list_distinct(ts)')} AS heading_body, {_ALIKE('ts', 'ts')} AS anchor_title FROM t),
+f AS (SELECT *, round(0.3::DOUBLE * title_body + 0.2::DOUBLE * title_h1 + 0.2::DOUBLE * heading_body, 3) AS body_only, round(0.3::DOUBLE * title_body + 0.2::DOUBLE * title_h1 + 0.2::DOUBLE * heading_body + 0.3::DOUBLE * anchor_title, 3) AS consistency FROM m) """
+
+
+def _topics(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
     return M.topicality(d.select(F.col("doc_id").cast("string").alias("url"), first.alias("title"), F.array_join(F.slice(F.split("text", " "), 4, 6), " ").alias("h1"), first.alias("headings"), F.col("text").alias("body"), first.alias("anchor")))
 
 
-@query(None)
-def report_issue_cards(spark, sf_dir):
-    return M.issue_cards(P.health_inputs(A.pages(spark, sf_dir), A.links(spark, sf_dir)))
+query(_TOPICS + "SELECT * FROM f", "page_topicality")(_topics)
+query(_TOPICS + "SELECT count(*) AS pages, round(avg(title_body), 6) AS title_body, round(avg(title_h1), 6) AS title_h1, round(avg(consistency), 6) AS consistency, count(*) FILTER (consistency < 0.3) AS low, count(*) FILTER (consistency >= 0.9) AS full FROM f", "report_topicality")(lambda spark, sf_dir: M.topicality_summary(_topics(spark, sf_dir)))
 
 
-@query(None)
-def report_card_score(spark, sf_dir):
-    p = A.pages(spark, sf_dir)
-    c = P.health_inputs(p, A.links(spark, sf_dir)).crossJoin(P.response_times(p).drop("p90")).crossJoin(P.canonicals(p).select("with_canonical"))  # one row each
-    return M.card_score(c)
+@query(_TOPICS + """, w AS (SELECT f.*, CAST(url AS BIGINT) AS id FROM f), g AS (SELECT id, ts FROM (SELECT doc_id AS id, ts FROM t)), n AS (SELECT a.id, round(avg(len(list_filter(b.ts, lambda y: list_contains(a.ts, y))) / len(b.ts)), 3) AS r FROM g a JOIN g b ON b.id = a.id OR b.id = a.id + 1 WHERE len(a.ts) > 0 AND len(b.ts) > 0 GROUP BY 1)
+SELECT url, coalesce(r, anchor_title) AS anchor_title, CASE WHEN r IS NULL THEN consistency ELSE round(0.3::DOUBLE * title_body + 0.2::DOUBLE * title_h1 + 0.2::DOUBLE * heading_body + 0.3::DOUBLE * r, 3) END AS consistency FROM w LEFT JOIN n ON n.id = w.id""")
+def page_topicality_anchors(spark, sf_dir):
+    """Each page is linked to by itself and by the page of the next id, with their titles as link texts."""
+    t = _topics(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").where(F.size(T.fields(F.col("text"))) >= 30)
+    title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    titles = d.select(F.col("doc_id").cast("string").alias("url"), title.alias("title")).where("title <> ''")
+    said = d.select(F.explode(F.array(F.col("doc_id").cast("string"), (F.col("doc_id") - 1).cast("string"))).alias("href"), title.alias("text")).where("text <> ''")
+    return M.with_anchors(t, titles, said).select("url", "anchor_title", "consistency")
 
 
 _LANG = "WITH h AS (SELECT 'https://e.example/' || CAST(o_orderkey AS VARCHAR) AS url, CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'x-default' ELSE 'de' END AS lang, 'https://e.example/' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey * 7 % 9000 END AS VARCHAR) AS href FROM orders UNION ALL SELECT 'https://e.example/' || CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN 'x-default' ELSE 'it' END, 'https://e.example/' || CAST(o_orderkey + o_orderkey % 2 AS VARCHAR) FROM orders) "
@@ -64,4 +76,7 @@ def _vectors(spark, sf_dir):
 
 
 query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4 ORDER BY similarity DESC, a, b LIMIT 100", "vector_similar_pairs")(lambda spark, sf_dir: M.similar_pairs(_vectors(spark, sf_dir), 0.4))
-query(None, "vector_similar_groups")(lambda spark, sf_dir: M.similar_groups(M.similar_pairs(_vectors(spark, sf_dir), 0.45, None)))
+_GROUPS = """WITH RECURSIVE v AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), q AS MATERIALIZED (SELECT * FROM v WHERE s >= 0.45), e AS (SELECT a, b FROM q UNION SELECT b, a FROM q),
+r AS (SELECT DISTINCT a AS f, a AS g FROM e UNION SELECT r.f, e.b FROM r JOIN e ON e.a = r.g), c AS (SELECT f, min(g) AS root FROM r GROUP BY 1), n AS (SELECT root, count(*) AS size FROM c GROUP BY 1)
+SELECT root AS group_id, size, round((SELECT sum(s) FROM q JOIN c ON c.f = q.a WHERE c.root = n.root) / (size * (size - 1) / 2), 4) AS mean_similarity FROM n ORDER BY size DESC, group_id LIMIT 50"""
+query(_GROUPS, "vector_similar_groups")(lambda spark, sf_dir: M.similar_groups(M.similar_pairs(_vectors(spark, sf_dir), 0.45, None)))

@@ -24,4 +24,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return add
 
 
-from . import content, facts, graphs, html, logs, metrics, pages  # noqa: E402,F401  registers on import
+from . import content, facts, graphs, html, logs, metrics, pages, site  # noqa: E402,F401  registers on import
