@@ -401,3 +401,26 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(rows.documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS g FROM w
+), d AS MATERIALIZED (
+  SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS node, g FROM s
+), u AS MATERIALIZED (
+  SELECT node, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS first_id FROM d WHERE node IS NOT NULL GROUP BY node
+), e AS MATERIALIZED (
+  SELECT node, n, unnest(g) AS x FROM u
+), l AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT node AS f, node AS t FROM u UNION SELECT r.f, l.b FROM r JOIN l ON l.a = r.t
+), c AS (
+  SELECT f, min(first_id) AS component_id FROM r JOIN u ON u.node = r.t GROUP BY f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN c ON c.f = d.node
+"""

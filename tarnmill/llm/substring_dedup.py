@@ -312,3 +312,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(rows.documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS again FROM g
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE again
+), p AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w
+), k AS (
+  SELECT p.doc_id, string_agg(p.x, ' ' ORDER BY p.p) AS kept FROM p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p GROUP BY p.doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
