@@ -175,7 +175,8 @@ def template(u: Column, h1: Column, words: Column, depth: Column, h1_count: Colu
         rules[name].append(point((words < 100) & (depth > 1), 1))
     if types is not None:
         for name, (kinds, n) in SCHEMA_TYPES.items():
-            rules[name.strip()].append(F.size(F.filter(types, lambda t, k=kinds: F.lower(t).isin(*k))) * n)
+            hits = [F.size(F.array_compact(F.transform(types, lambda t: F.when(F.lower(t) == kind, 1)))) for kind in kinds]  # noqa: B023  called at once
+            rules[name.strip()].append(reduce(lambda a, b: a + b, hits) * n)
     if og_type is not None:
         rules["article"].append(point(F.lower(og_type).isin("article", "blog"), 2))
         rules["product"].append(point(F.lower(og_type).isin("product", "product.item"), 2))

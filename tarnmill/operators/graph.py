@@ -217,7 +217,7 @@ def sampled_centralities(nodes: DataFrame, edges: DataFrame, sources: int = 500,
                 break
             levels.append(level)
             seen = reduce(DataFrame.unionAll, [x.select("s", "v") for x in levels])
-        reach = reduce(DataFrame.unionAll, [x.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.lit(d)).alias("far")) for d, x in enumerate(levels) if d] or [few.select("s", F.lit(0).alias("k"), F.lit(0).alias("far"))])
+        reach = reduce(DataFrame.unionAll, [x.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.lit(d)).alias("far")) for d, x in enumerate(levels) if d] + [few.select("s", F.lit(0).alias("k"), F.lit(0).alias("far"))])
         reach = stored(reach.groupBy("s").agg(F.sum("k").alias("k"), F.sum("far").alias("far")), "reach")
         after, parts = None, []
         for x in reversed(levels):
