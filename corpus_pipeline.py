@@ -35,8 +35,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ids = row.groupBy(F.col(one).alias("r")).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("n"))
     linked = ids.join(found.where("n_shingles > 0").select(F.col("doc_id").alias("r"), "component_id").distinct(), "r")
     linked = rows.stored(linked, "pipeline-linked")
-    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m"))
-    kept = linked.join(first.select("component_id", F.col("m.r").alias("k")), "component_id").select(F.col("r").alias(least), (F.col("r") == F.col("k")).alias(root), F.col("n").alias(copies))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m"), F.count("*").alias("size"))
+    first = rows.stored(first.select("component_id", F.col("m.r").alias("k"), "size"), "pipeline-first")
+    kept = rows.spread_join(linked, first, "component_id", "size", linked.count()).select(F.col("r").alias(least), (F.col("r") == F.col("k")).alias(root), F.col("n").alias(copies))
     kept = rows.stored(kept, "pipeline-kept")
     # Rows of one hash are one text under one id; of a kept one that repeats, the least row stays.
     alone = row.join(kept.where(F.col(copies) == 1), F.col(one) == F.col(least), "left")
