@@ -3,7 +3,7 @@
 A document's set of shingle hashes is hashed into groups; the counts per group are a point, and two sets
 share at most the sum of their coordinates' minima. There are at least ``GROUPS`` groups, and as many as
 keep the mean count at ``MEAN`` or less: were it larger, any two long texts of one length would have
-nearly equal points. Group numbers are powers of two, so points of different length compare after
+nearly equal points. (Points that go with very many keys have fewer, see stored_point; sets are verified either way.) Group numbers are powers of two, so points of different length compare after
 folding the longer. An R-tree over points bounds a whole
 box by the minima with its upper corner, so boxes and pairs whose bound misses the threshold are never
 looked at, and what survives is verified on the sets.
@@ -51,7 +51,7 @@ from .components import components
 WIDTH = 4
 NUM, DEN = 85, 100  # similarity of op1; others pass num and den
 GROUPS, MEAN = 64, 8
-BLOCK, BLOCK_BYTES = 4096, 1 << 25
+BLOCK, BLOCK_BYTES, POINT_BYTES = 4096, 1 << 25, 1 << 20
 LEAF, FAN = 32, 16
 U = np.uint64
 KINDS = {1: np.uint8, 2: np.uint16, 4: np.int32}  # of a stored point, by bytes a count
@@ -96,15 +96,16 @@ def keys(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts by group; groups come from other bits than cells."""
-    groups = max(GROUPS, 1 << (max(1, len(hashes) // MEAN) - 1).bit_length())
+def point(hashes: np.ndarray, most: int = 1 << 40) -> np.ndarray:
+    """Counts by group; groups come from other bits than cells. ``most`` bounds the groups, a power of two."""
+    groups = min(most, max(GROUPS, 1 << (max(1, len(hashes) // MEAN) - 1).bit_length()))
     return np.bincount((hashes & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def stored_point(hashes: np.ndarray) -> bytes:
-    """The point in as few bytes as its counts need; the first byte tells how many each has."""
-    p = point(hashes)
+def stored_point(hashes: np.ndarray, copies: int) -> bytes:
+    """The point in as few bytes as its counts need; the first byte tells how many each has. One copy goes with each key, so a
+    long text's point is coarser: all copies have POINT_BYTES groups, or GROUPS each."""
+    p = point(hashes, max(GROUPS, 1 << max(0, (POINT_BYTES // max(1, copies)).bit_length() - 1)))
     kind = np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int32
     return bytes([kind().itemsize]) + p.astype(kind).tobytes()
 
@@ -240,13 +241,14 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         seen: set[int] = set()
         ids = [node(h) if f else None for h, f in zip(every, full, strict=True)]
         fresh = [f and not (i in seen or seen.add(i)) for i, f in zip(ids, full, strict=True)]  # keys once a batch
+        named = [keys(h, num, den).view(np.int64) if f else None for h, f in zip(every, fresh, strict=True)]
         return {
             "doc_id": batch.column("doc_id"),
             "row": batch.column("row"),
             "n": [len(h) for h in every],
             "node": pa.array(ids, pa.int64()),
-            "point": pa.array([stored_point(h) if f else None for h, f in zip(every, fresh, strict=True)], pa.binary()),
-            "keys": pa.array([keys(h, num, den).view(np.int64) if f else None for h, f in zip(every, fresh, strict=True)], pa.list_(pa.int64())),
+            "point": pa.array([None if k is None else stored_point(h, len(k)) for h, k in zip(every, named, strict=True)], pa.binary()),
+            "keys": pa.array(named, pa.list_(pa.int64())),
         }
 
     t = rows.texts(docs)
