@@ -13,7 +13,7 @@ import heapq
 import json
 from collections.abc import Sequence
 
-PAIR_CACHE = 400_000
+PAIR_CACHE, SHORT = 400_000, 12
 
 
 def tiktoken_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +53,8 @@ class Bpe:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self._short: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The merge loop itself: join the leftmost neighbours of least rank, until none has a rank."""
@@ -101,15 +102,24 @@ class Bpe:
                 push(before[i])
         return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    encode = merge
+    def encode(self, piece: bytes) -> list[int]:
+        """merge(), remembered for short pieces: parts of words repeat far more than words do."""
+        known = self._short.get(piece)
+        if known is None:
+            known = self.merge(piece)
+            if len(piece) <= SHORT:
+                if len(self._short) >= PAIR_CACHE:
+                    self._short.clear()
+                self._short[piece] = known
+        return known
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether token b may follow token a in an encoding."""
-        known = self._pairs.get((a, b))
+        known = self.pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= PAIR_CACHE:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            if len(self.pairs) >= PAIR_CACHE:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def decode(self, ids: Sequence[int]) -> bytes:

@@ -29,6 +29,7 @@ from . import rows
 from .bpe import Bpe, json_ranks
 from .pretokens import byte_level
 
+FEW = (2, 1)
 PIECES = 200_000  # distinct pieces that a process remembers; when full, it begins anew
 
 
@@ -49,16 +50,20 @@ class PrefixCounter:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Token count of each prefix of one piece, from the empty one on."""
-        n, ids, sizes, fits, whole = len(piece), self.bpe.ranks, self._sizes, self.bpe.adjacent, self._whole
-        last, count, few = [-1] * (n + 1), [0] * (n + 1), (2, 1)
+        n, ids, sizes, known, fits = len(piece), self.bpe.ranks.get, self._sizes.get, self.bpe.pairs.get, self.bpe.adjacent
+        last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for size in sizes.get(piece[i - 3 : i], few) if i > 2 else few:
-                if size > i:
+            for size in sizes(piece[i - 3 : i], FEW) if i > 2 else FEW:
+                at = i - size
+                if at < 0 or (t := ids(piece[at:i])) is None:
                     continue
-                t = ids.get(piece[i - size : i])
-                if t is None or (not fits(last[i - size], t) if size < i else size > 1 and not whole(t)):
+                if at:
+                    before = last[at]
+                    if not ((k := known((before, t))) or (k is None and fits(before, t))):
+                        continue
+                elif size > 1 and not self._whole(t):
                     continue
-                last[i], count[i] = t, count[i - size] + 1
+                last[i], count[i] = t, count[at] + 1
                 break
         return count
 
@@ -66,25 +71,26 @@ class PrefixCounter:
     def _whole(self, token: int) -> bool:
         return self.bpe.merge(self.bpe.bytes_of[token]) == [token]
 
-    def by_char(self, piece: str) -> np.ndarray:
-        """Token count of each prefix in characters."""
-        kept = self._prefix.get(piece)
-        if kept is not None:
-            return np.frombuffer(kept, np.uint8)
+    def _by_char(self, piece: str) -> list[int]:
         raw = piece.encode()
-        count = np.array(self.prefixes(raw))
+        count = self.prefixes(raw)
         if len(raw) != len(piece):  # a character begins at a byte that does not go on one
-            count = count[np.r_[(np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True]]
+            count = [n for n, b in zip(count, raw, strict=False) if b & 0xC0 != 0x80] + count[-1:]
         return count
 
+    def by_char(self, piece: str) -> np.ndarray:
+        """Token count of each prefix in characters."""
+        kept = self._prefix.get(piece)
+        return np.array(self._by_char(piece)) if kept is None else np.frombuffer(kept, np.uint8)
+
     def _piece(self, piece: str) -> int:
         if len(self._count) >= PIECES:
             self._count.clear()
             self._prefix.clear()
-        count = self.by_char(piece)
+        count = self._by_char(piece)
         if len(piece) <= 64:
-            self._prefix[piece] = count.astype(np.uint8).tobytes()
-        n = self._count[piece] = int(count[-1])
+            self._prefix[piece] = bytes(count)
+        n = self._count[piece] = count[-1]
         return n
 
     def pieces(self, text: str) -> tuple[list[str], list[int], set[int]]:
