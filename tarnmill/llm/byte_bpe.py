@@ -1,6 +1,6 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece is halved until its parts are of two bytes at most, each part is encoded, and neighbours are joined: if the
+A piece is halved until its parts are of four bytes at most, each part is encoded, and neighbours are joined: if the
 last token of the left and the first of the right may stand side by side, the two lists concatenate;
 else the bytes of a window of tokens about the seam are encoded anew, and the window grows on each
 side until its outer token may stand beside the token before (after) it. By bpe's second fact the
@@ -26,7 +26,7 @@ from . import rows
 from .bpe import Bpe, tiktoken_ranks
 from .pretokens import byte_level
 
-LEAF = 2
+LEAF = 4
 DECODE_LEAF = 1024
 PIECES = 300_000
 
