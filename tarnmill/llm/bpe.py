@@ -16,6 +16,27 @@ from collections.abc import Sequence
 PAIR_CACHE, SHORT = 400_000, 12
 
 
+class Recent(dict):
+    """What ``solve`` gives for a piece, remembered in two generations: when the younger has ``most`` pieces the older goes, so
+    pieces that keep coming stay. Pieces of over ``longest`` characters are solved each time."""
+
+    def __init__(self, solve, most: int = 150_000, longest: int = 64):
+        super().__init__()
+        self.solve, self.most, self.longest, self.old = solve, most, longest, {}
+
+    def __missing__(self, piece):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.solve(piece)
+            if len(piece) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 def tiktoken_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}

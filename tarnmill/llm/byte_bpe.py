@@ -23,18 +23,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import rows
-from .bpe import Bpe, tiktoken_ranks
+from .bpe import Bpe, Recent, tiktoken_ranks
 from .pretokens import byte_level
 
 LEAF = 4
 DECODE_LEAF = 1024
-PIECES = 300_000
 
 
 class TreeBpe:
     def __init__(self, path: str):
         self.bpe, self.cut = Bpe(tiktoken_ranks(path)), byte_level()
-        self._known: dict[str, bytes] = {}
+        self._known = Recent(self.piece)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes, from their encodings."""
@@ -58,19 +57,14 @@ class TreeBpe:
 
     def piece(self, piece: str) -> bytes:
         """The ids of one piece as little-endian unsigned 32-bit integers; a piece that is a token is that token."""
-        if len(self._known) >= PIECES:
-            self._known.clear()
         b = piece.encode()
         whole = self.bpe.ranks.get(b)
-        ids = np.array([whole] if whole is not None else self.tree(b), dtype="<u4").tobytes()
-        if len(b) <= 64:
-            self._known[piece] = ids
-        return ids
+        return np.array([whole] if whole is not None else self.tree(b), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Pieces are encoded apart, so up here joining is concatenation."""
-        known = self._known.get
-        return b"".join([known(p) or self.piece(p) for p in self.cut(text)])
+        known = self._known
+        return b"".join([known[p] for p in self.cut(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return self._concat(array("I", ids).tolist() if array("I").itemsize == 4 else np.frombuffer(ids, "<u4").tolist())

@@ -29,14 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rows
-from .bpe import json_ranks
+from .bpe import Recent, json_ranks
 from .pretokens import word_level
 
 LENGTH = 4096
 CLOSE = 2
 DIMS, BITS = 4, 8
 RANGE_IDS = 1 << 22
-PIECES = 400_000
 _END = b"\xff"  # stands for the end-of-word suffix; no UTF-8 text holds this byte
 
 
@@ -49,15 +48,10 @@ class WordBpe:
         # The library's merge loop over one given piece; the cutting pattern is never used.
         self.encode_piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._known: dict[str, bytes] = {}
+        self._known = Recent(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        if len(self._known) >= PIECES:
-            self._known.clear()
-        ids = np.array(self.encode_piece(piece.encode() + _END), dtype="<u2").tobytes()
-        if len(piece) <= 64:
-            self._known[piece] = ids
-        return ids
+        return np.array(self.encode_piece(piece.encode() + _END), dtype="<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 16-bit integers, special strings included."""
@@ -69,8 +63,8 @@ class WordBpe:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         # str.lower() looks at a capital sigma's neighbours; the vocabulary's rule does not.
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        known = self._known.get
-        return b"".join([known(p) or self._piece(p) for p in self.cut(text)])
+        known = self._known
+        return b"".join([known[p] for p in self.cut(text)])
 
 
 @functools.cache

@@ -26,11 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import rows
-from .bpe import Bpe, json_ranks
+from .bpe import Bpe, Recent, json_ranks
 from .pretokens import byte_level
 
 FEW = (2, 1)
-PIECES = 200_000  # distinct pieces that a process remembers; when full, it begins anew
 
 
 class PrefixCounter:
@@ -40,8 +39,7 @@ class PrefixCounter:
         ranks, self.special = json_ranks(path)
         self.bpe, self.cut = Bpe(ranks), byte_level()
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._count: dict[str, int] = {}
-        self._prefix: dict[str, bytes] = {}
+        self._known = Recent(self._by_char)  # piece -> token count of each prefix in characters
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
             if len(token) > 2:
@@ -71,34 +69,24 @@ class PrefixCounter:
     def _whole(self, token: int) -> bool:
         return self.bpe.merge(self.bpe.bytes_of[token]) == [token]
 
-    def _by_char(self, piece: str) -> list[int]:
+    def _by_char(self, piece: str) -> bytes | list[int]:
         raw = piece.encode()
         count = self.prefixes(raw)
         if len(raw) != len(piece):  # a character begins at a byte that does not go on one
             count = [n for n, b in zip(count, raw, strict=False) if b & 0xC0 != 0x80] + count[-1:]
-        return count
+        return bytes(count) if count[-1] < 256 else count
 
     def by_char(self, piece: str) -> np.ndarray:
         """Token count of each prefix in characters."""
-        kept = self._prefix.get(piece)
-        return np.array(self._by_char(piece)) if kept is None else np.frombuffer(kept, np.uint8)
-
-    def _piece(self, piece: str) -> int:
-        if len(self._count) >= PIECES:
-            self._count.clear()
-            self._prefix.clear()
-        count = self._by_char(piece)
-        if len(piece) <= 64:
-            self._prefix[piece] = bytes(count)
-        n = self._count[piece] = count[-1]
-        return n
+        kept = self._known[piece]
+        return np.frombuffer(kept, np.uint8) if isinstance(kept, bytes) else np.array(kept)
 
     def pieces(self, text: str) -> tuple[list[str], list[int], set[int]]:
         """(pieces, tokens of each, places of those that are special strings)."""
-        known, solve = self._count.get, self._piece
+        known = self._known
         if self._split is None or not (parts := self._split.split(text))[1:]:
             every = self.cut(text)
-            return every, [known(p) or solve(p) for p in every], set()
+            return every, [known[p][-1] for p in every], set()
         every, count, special = [], [], set()
         for i, part in enumerate(parts):
             if i % 2:
@@ -108,7 +96,7 @@ class PrefixCounter:
             else:
                 some = self.cut(part)
                 every += some
-                count += [known(p) or solve(p) for p in some]
+                count += [known[p][-1] for p in some]
         return every, count, special
 
     def count(self, text: str) -> int:
