@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\u0085   -     　]+"
+#: Fixed value: what a page says that is not there.
 SOFT_404 = r"(?i)(page not found|404 not found|not found|page doesn.t exist|no longer available|nothing found|does not exist)"
 
 
@@ -33,11 +34,11 @@ def grade(words: Column, sentence_count: Column, syllable_total: Column) -> Colu
     return F.when(words > 0, F.floor(g * 100 + 0.5000001) / 100)
 
 
-def tokens(t: Column, stop: Column) -> Column:
+def tokens(t: Column, stop: tuple[str, ...]) -> Column:
     """For n-grams: lower case, letters, digits, ' and - only, trimmed of those, two bytes or more, no stopword, not all digits."""
     clean = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s'-]", " ")
     w = F.transform(fields(clean), lambda x: F.trim(x, F.lit("'-")))
-    return F.filter(w, lambda x: (F.octet_length(x) >= 2) & ~F.array_contains(stop, x) & ~x.rlike(r"^\p{Nd}+$"))
+    return F.filter(w, lambda x: (F.octet_length(x) >= 2) & ~x.isin(*stop) & ~x.rlike(r"^\p{Nd}+$"))
 
 
 def terms(t: Column) -> Column:

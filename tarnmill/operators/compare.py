@@ -103,6 +103,7 @@ def findings(old: DataFrame, new: DataFrame) -> DataFrame:
     row = wide.crossJoin(gone).crossJoin(moves)  # one row each
     pct = F.col("gone") / F.greatest(o("pages"), F.lit(1.0)) * 100
     lost = -d("clicks") / F.greatest(o("clicks"), F.lit(1.0)) * 100
+    # Thresholds, severities and factors of impact.
     rules = (
         ("coverage", F.col("gone") > 0, F.when(pct > 10, "critical").when(pct > 5, "warning").otherwise("info"), F.col("gone")),
         ("coverage-traffic", F.col("gone_clicks") > 0, F.lit("critical"), F.col("gone_clicks")),

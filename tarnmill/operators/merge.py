@@ -15,15 +15,20 @@ from . import pages as P
 from .logs import status_group
 
 
+KEPT = ("crawl_path", "url", "final_url", "status_code", "canonical", "indexable")
+
+
 def crawl_keys(p: DataFrame) -> DataFrame:
-    """p with ``key``, ``rank`` of the variant and ``crawl_path``; each key once."""
+    """key and KEPT of the page that answers to each key: of the variants that make a key the closest, then the least url. One
+    aggregate, whose rows are cut down before they are shuffled."""
     path = U.path_and_query(F.col("url"))
-    slash = lambda x: F.when(F.endswith(x, F.lit("/")), F.regexp_replace(x, "/$", "")).otherwise(F.concat(x, F.lit("/")))
+    other = lambda x: F.when(F.endswith(x, F.lit("/")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit("/")))
     raw = F.concat(F.when(U.raw_path(F.col("url")) == "", "/").otherwise(U.raw_path(F.col("url"))), F.when(U.query(F.col("url")) != "", F.concat(F.lit("?"), U.query(F.col("url")))).otherwise(""))
-    k = P.classified(p).withColumn("crawl_path", path).withColumn("v", F.array(F.col("crawl_path"), slash(F.col("crawl_path")), raw, slash(raw)))
-    k = k.select("*", F.posexplode("v").alias("rank", "key")).drop("v").where(F.col("key") != "")
-    best = k.groupBy("key").agg(F.min(F.struct("rank", "url")).alias("m")).select(F.col("key").alias("_k"), F.col("m.rank").alias("_r"), F.col("m.url").alias("_u"))
-    return k.join(best, (F.col("key") == F.col("_k")) & (F.col("rank") == F.col("_r")) & (F.col("url") == F.col("_u"))).drop("_k", "_r", "_u").dropDuplicates(["key"])
+    q = P.classified(p).withColumn("crawl_path", path).withColumn("_raw", raw).select(*KEPT, "_raw")
+    forms = F.array_distinct(F.array(F.col("crawl_path"), other(F.col("crawl_path")), F.col("_raw"), other(F.col("_raw"))))
+    k = q.select(*KEPT, F.posexplode(forms).alias("rank", "key")).where(F.col("key") != "")
+    best = k.groupBy("key").agg(F.min(F.struct("rank", "url", F.struct(*KEPT).alias("row"))).alias("m"))
+    return best.select("key", "m.row.*")
 
 
 def segment(bot_hits: Column) -> tuple[Column, Column]:
@@ -52,7 +57,7 @@ def merged(log_urls: DataFrame, p: DataFrame) -> DataFrame:
     k = crawl_keys(p)
     whole = log_urls.select(F.col("path"), "hits", "bot_hits", F.col("status").alias("log_status"), F.split_part("path", F.lit("?"), F.lit(1)).alias("bare"))
     tries = whole.select("*", F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("path").alias("key")), F.struct(F.lit(1).alias("t"), F.col("bare").alias("key")))).alias("x")).select("*", "x.t", F.col("x.key").alias("_key")).drop("x")
-    found = tries.join(k.select("key", "crawl_path", "url", "final_url", "status_code", "canonical", "indexable"), F.col("_key") == F.col("key"))
+    found = tries.join(k, F.col("_key") == F.col("key"))
     best = found.groupBy("path").agg(F.min_by(F.struct("crawl_path", "url", "final_url", "status_code", "canonical", "indexable"), "t").alias("m")).select(F.col("path").alias("_p"), "m.*")
     kind, why = segment(F.col("bot_hits"))
     logs = whole.join(best, F.col("path") == F.col("_p"), "left").select("path", F.lit(True).alias("in_logs"), F.col("_p").isNotNull().alias("in_crawl"), "hits", "bot_hits", "log_status", F.col("status_code").alias("crawl_status"), F.when(F.col("_p").isNull(), "orphan_crawled").otherwise(kind).alias("segment"), F.when(F.col("_p").isNull(), "bots reach this url, the crawl found no link to it").otherwise(why).alias("reason"), F.coalesce((F.col("log_status") > 0) & (status_group(F.col("log_status")) != status_group(F.col("status_code"))), F.lit(False)).alias("mismatch"))

@@ -16,8 +16,7 @@ def ngrams(texts: DataFrame, n: int, language: str = "en", k: int = 100) -> Data
 
     Each text is cut once. Its n-grams are sorted within the row, so that the first of each is known, and one shuffle by term,
     summed before it, gives counts and pages; a row without a term per text gives the totals."""
-    stop = F.array(*[F.lit(w) for w in stopwords(language)])
-    t = texts.where(F.octet_length("text") >= 50).select(T.tokens(F.col("text"), stop).alias("w")).where(F.size("w") >= max(3, n))
+    t = texts.where(F.octet_length("text") >= 50).select(T.tokens(F.col("text"), stopwords(language)).alias("w")).where(F.size("w") >= max(3, n))
     gram = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(n)])) if n > 1 else F.col("w")
     t = t.select(F.array_sort(gram).alias("g"))
     new = F.transform("g", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(F.col("g"), F.greatest(i - 1, F.lit(0))) != x)).cast("long").alias("first")))

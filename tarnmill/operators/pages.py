@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
 from ..functions.urls import budget_rule
 
 #: Anchor texts that describe nothing, as the report counts them.
@@ -301,7 +302,8 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     counts, one a partition, reach the driver."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*cols, F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % 2**33).alias("_at")).persist()
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*cols, F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % 2**33).alias("_at"))
+    dealt = stored(dealt, "numbered")
     before, counts = 0, []
     for r in sorted(dealt.groupBy("_part").count().collect()):
         counts += [F.lit(r["_part"]), F.lit(before)]
@@ -310,7 +312,10 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 
 def sitemap_entries(p: DataFrame, size: int = 50_000) -> DataFrame:
-    """Eligible urls (200, indexable, their own canonical) and the number of the sitemap file that each goes to."""
+    """Eligible urls (200, indexable, their own canonical, without an error and no soft 404 where such columns are there) and the
+    number of the sitemap file that each goes to."""
+    bad = [~F.coalesce(F.col("soft_404"), F.lit(False))] * ("soft_404" in p.columns) + [F.coalesce(F.col("error"), F.lit("")) == ""] * ("error" in p.columns)
+    p = p.where(reduce(lambda a, b: a & b, bad)) if bad else p
     own = (F.coalesce(F.col("canonical"), F.lit("")) == "") | (trimmed(F.col("canonical")) == trimmed(F.col("url")))
     e = indexability(p).where((F.col("status_code") == 200) & F.col("indexable") & own).select("url")
     return numbered(e, "url").select("url", (F.floor(F.col("place") / size) + 1).alias("file"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import stored
+from ..checkpoints import discard, stored
 
 BITS = 64
 
@@ -67,3 +67,27 @@ def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
     first = F.array_position(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: apart.bitwiseAND(m)), F.lit(0).cast("long")) - 1
     pairs = k.withColumnRenamed("fingerprint", "a").join(o, (F.col("key") == F.col("_n")) & (F.col("bits") == F.col("_k")) & (F.col("a") < F.col("b"))).where(distance <= most).where(first == F.col("key"))
     return pairs.select("a", "b", distance.alias("distance"), F.expr(f"({BITS} - bit_count(a ^ b)) * 100 div {BITS}").alias("similarity"))
+
+
+def greedy_groups(prints: DataFrame, most: int = 6) -> DataFrame:
+    """id, group_id of fingerprints (id, fingerprint), by seeds in order of id: whoever is in no group yet founds one and takes all
+    that are ``most`` apart or nearer and free. In rounds: whoever has no undecided neighbour before it is a seed, and its
+    neighbours are not; at last each of those joins its first seed. Equal fingerprints go together."""
+    order = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("o")), "greedy")
+    pairs = near_pairs(prints, most).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    at = lambda side, name: order.select(F.col("fingerprint").alias(side), F.col("o").alias(name))
+    e = stored(both.join(at("a", "oa"), "a").join(at("b", "ob"), "b").select("oa", "ob"), "greedy")  # each by its first id
+    left, seeds = stored(e.select(F.col("oa").alias("o")).distinct(), "greedy"), None
+    while not left.isEmpty():
+        open_ = e.join(left.select(F.col("o").alias("oa")), "oa", "left_semi").join(left.select(F.col("o").alias("ob")), "ob", "left_semi")
+        new = stored(left.join(open_.where(F.col("ob") < F.col("oa")).select(F.col("oa").alias("o")), "o", "left_anti"), "greedy")
+        taken = e.join(new.select(F.col("o").alias("oa")), "oa", "left_semi").select(F.col("ob").alias("o"))
+        before, left = left, stored(left.join(new, "o", "left_anti").join(taken, "o", "left_anti"), "greedy")
+        discard(before)
+        seeds = new if seeds is None else seeds.unionByName(new)
+    if seeds is None:
+        return prints.join(order, "fingerprint").select("id", F.col("o").alias("group_id"))
+    s = seeds.distinct()
+    first = e.join(s.select(F.col("o").alias("ob")), "ob", "left_semi").groupBy("oa").agg(F.min("ob").alias("seed")).join(s.select(F.col("o").alias("oa")), "oa", "left_anti")
+    return prints.join(order, "fingerprint").join(first, F.col("o") == F.col("oa"), "left").select("id", F.coalesce("seed", "o").alias("group_id"))

@@ -104,3 +104,8 @@ def near_duplicate_groups(spark, sf_dir):
     prints = S.fingerprints(docs)
     groups = G.components(S.near_pairs(prints).select("a", "b"))
     return prints.join(groups.withColumnRenamed("id", "_f"), F.col("fingerprint") == F.col("_f"), "left").select("id", F.coalesce("root", "fingerprint").alias("group_id"))
+
+
+@query(None)
+def near_duplicate_greedy(spark, sf_dir):
+    return S.greedy_groups(S.fingerprints(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")))

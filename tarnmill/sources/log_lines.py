@@ -92,11 +92,12 @@ def flexible_time(c: Column) -> Column:
 def _headed(header: list[str], separator: str) -> list[Column]:
     """Fields by the header's names; several names may mean one field."""
     at = {n.strip().lower(): i for i, n in reversed(list(enumerate(header)))}
-    parts = F.split("value", separator)
+    quoted = separator == ","  # fields may be in quotation marks
+    parts = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(header))), {"sep": ","}) if quoted else F.split("value", separator)
 
     def g(field: str) -> Column:
         i = next((at[n] for n in ALIASES[field] if n in at), None)
-        return F.lit("") if i is None else F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        return F.lit("") if i is None else F.coalesce(parts[f"c{i}"] if quoted else F.get(parts, F.lit(i)), F.lit(""))
 
     q = g("query")
     path = F.when((q != "") & (q != "-"), F.concat(g("path"), F.lit("?"), q)).otherwise(g("path"))

@@ -73,3 +73,23 @@ def test_near_pairs_lose_none(spark):
     df = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
     assert {(x.a, x.b) for x in S.near_pairs(df).collect()} == want
     assert S.fingerprint("") == 0 and S.fingerprint("a b c d e f") != S.fingerprint("a b c d e g")
+
+
+def test_greedy_groups_equal_a_plain_loop(spark):
+    r = random.Random(7)
+    data = []
+    for _ in range(14):
+        b = r.getrandbits(64)
+        for _ in range(r.randint(1, 9)):
+            for bit in r.sample(range(64), r.randint(0, 4)):
+                b ^= 1 << bit
+            data.append(b - (1 << 64) if b >= 1 << 63 else b)
+    data += data[:5]
+    r.shuffle(data)
+    want = {}
+    for i, f in enumerate(data):
+        if i not in want:
+            want |= {j: i for j, g in enumerate(data) if j not in want and bin((f ^ g) & (2**64 - 1)).count("1") <= 6}
+    df = spark.createDataFrame(list(enumerate(data)), "id long, fingerprint long")
+    assert {x.id: x.group_id for x in S.greedy_groups(df).collect()} == want
+    assert S.greedy_groups(df.limit(0)).count() == 0
