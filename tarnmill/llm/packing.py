@@ -10,7 +10,7 @@ number of sequences.
 Texts: null counts as empty, and an empty text is the one closing id. Rows that repeat are packed
 each; rows of one key and doc_id, null ones too, are ordered by the place at which they were written, and a
 range may begin between any two of them, so neither copies nor rows without an id need to meet in one task.
-An empty table gives no rows; other columns are not read.
+A text of any length is tokenized whole. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

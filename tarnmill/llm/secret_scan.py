@@ -7,7 +7,9 @@ characters) and ``iban`` (97-remainder). A keyword's match is tried at each of i
 right, after the end of the kind's match before, which is the leftmost non-overlapping scan, as no
 match can begin elsewhere. A kind without a keyword (hex) is one scan for its least run.
 
-Texts: null counts as empty and has no spans; spans count code points, end exclusive.
+Texts: null counts as empty and has no spans; spans count code points, end exclusive. A text of any length
+is scanned whole. Rows that repeat are scanned each, an empty table gives no rows; ``secrets`` reads no other
+columns, ``without_secrets`` keeps them.
 """
 
 from __future__ import annotations
