@@ -55,11 +55,11 @@ def graph_click_depths(spark, sf_dir):
     return G.click_depths(_graph(spark, sf_dir)[1], HOME, 12)
 
 
-@query(_DEPTH + "SELECT dst AS id, count(*) AS in_degree, CASE WHEN max(coalesce(depth, 999)) <> 999 THEN CAST(max(coalesce(depth, 999)) AS INTEGER) END AS worst_depth FROM edges LEFT JOIN z ON z.id = src WHERE dst IN (SELECT k FROM p WHERE status_code = 200) GROUP BY 1 HAVING count(*) <= 6 AND max(coalesce(depth, 999)) >= 2")
+@query(_DEPTH + "SELECT dst AS id, count(*) AS in_degree, CASE WHEN max(coalesce(depth, 999)) <> 999 THEN CAST(max(coalesce(depth, 999)) AS INTEGER) END AS worst_depth FROM edges LEFT JOIN z ON z.id = src WHERE dst IN (SELECT k FROM p WHERE status_code = 200) GROUP BY 1 HAVING count(*) <= 25 AND max(coalesce(depth, 999)) >= 2")
 def graph_near_orphans(spark, sf_dir):
     p = A.pages(spark, sf_dir)
     edges = _graph(spark, sf_dir)[1]
-    return G.near_orphans(edges, p.where("status_code = 200").select(F.col("k").alias("id")), G.click_depths(edges, HOME, 12), most=6, deep=2)
+    return G.near_orphans(edges, p.where("status_code = 200").select(F.col("k").alias("id")), G.click_depths(edges, HOME, 12), most=25, deep=2)
 
 
 @query("WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem) SELECT src AS id, count(*) AS out_degree, round(1 / log2(count(*) + 1), 6) AS equity, CASE WHEN round(1 / log2(count(*) + 1), 6) < 0.13 THEN 'excessive' WHEN round(1 / log2(count(*) + 1), 6) < 0.15 THEN 'high' WHEN round(1 / log2(count(*) + 1), 6) < 0.18 THEN 'moderate' ELSE 'none' END AS warning FROM e GROUP BY 1 HAVING count(*) >= 20")
