@@ -54,7 +54,8 @@ def near_keys(n: int, most: int = 6) -> list[list[tuple[int, int]]]:
 
 def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
     """a, b (fingerprints, a < b), distance of different fingerprints at most ``most`` apart. Equal fingerprints count once, so
-    copies make no pairs. Candidates share a key of near_keys; a pair that shares several is looked at for the first alone."""
+    copies make no pairs. Candidates share a key of near_keys; a pair that shares several is looked at for the first alone. The join
+    is by sorting: the stored fingerprints look small enough to broadcast, their keys are dozens of times as many rows."""
     d = stored(prints.select("fingerprint").distinct(), "fingerprints")
     every = near_keys(d.count(), most)
     masks = [sum(((1 << size) - 1) << at for at, size in runs) for runs in every]
@@ -65,7 +66,7 @@ def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
     apart = F.col("a").bitwiseXOR(F.col("b"))
     distance = F.bit_count(apart)
     first = F.array_position(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: apart.bitwiseAND(m)), F.lit(0).cast("long")) - 1
-    pairs = k.withColumnRenamed("fingerprint", "a").join(o, (F.col("key") == F.col("_n")) & (F.col("bits") == F.col("_k")) & (F.col("a") < F.col("b"))).where(distance <= most).where(first == F.col("key"))
+    pairs = k.withColumnRenamed("fingerprint", "a").join(o.hint("merge"), (F.col("key") == F.col("_n")) & (F.col("bits") == F.col("_k")) & (F.col("a") < F.col("b"))).where(distance <= most).where(first == F.col("key"))
     return pairs.select("a", "b", distance.alias("distance"), F.expr(f"({BITS} - bit_count(a ^ b)) * 100 div {BITS}").alias("similarity"))
 
 
