@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
 from ..operators import graph as G
 from ..operators import simhash as S
 from ..tables import table
@@ -101,9 +102,9 @@ def near_duplicate_pairs(spark, sf_dir):
 @query(_PRINTS + ", e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT DISTINCT f, f AS g FROM f UNION SELECT r.f, e.b FROM r JOIN e ON e.a = r.g) SELECT f.id, (SELECT min(g) FROM r WHERE r.f = f.f) AS group_id FROM f")
 def near_duplicate_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    prints = S.fingerprints(docs)
+    prints = stored(S.fingerprints(docs), "prints")  # texts are read and hashed once
     groups = G.components(S.near_pairs(prints).select("a", "b"))
-    return prints.join(groups.withColumnRenamed("id", "_f"), F.col("fingerprint") == F.col("_f"), "left").select("id", F.coalesce("root", "fingerprint").alias("group_id"))
+    return prints.join(groups.withColumnRenamed("id", "_f").hint("merge"), F.col("fingerprint") == F.col("_f"), "left").select("id", F.coalesce("root", "fingerprint").alias("group_id"))
 
 
 @query(None)

@@ -40,3 +40,29 @@ def test_pairs_broadcast_nothing(spark, plans):
     got, seen = plans
     assert {(x.a, x.b) for x in seen(S.near_pairs(p)).collect()} == near(some)
     assert not any("Broadcast" in x for x in got)
+
+
+def test_components_broadcast_nothing(spark, plans):
+    p, some = prints(spark)
+    got, seen = plans
+    links = near(some)
+    root = {x: x for x in some}
+    for _ in some:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {x.id: x.root for x in seen(G.components(spark.createDataFrame(sorted(links), "a long, b long"))).collect()}
+    assert found == {x: root[x] for pair in links for x in pair}
+    assert not any("Broadcast" in x for x in got)
+
+
+def test_groups_hash_texts_once(spark, tmp_path, plans):
+    from tarnmill.plans import graphs
+
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd".split()
+    texts = [" ".join(words), " ".join(words), " ".join(reversed(words)), "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, seen = plans
+    rows = seen(graphs.near_duplicate_groups(spark, str(tmp_path))).collect()
+    of = {x.id: x.group_id for x in rows}
+    assert len(rows) == 3 and of[0] == of[1] != of[2]
+    assert "ArrowEvalPython" not in got[-1] and "Broadcast" not in got[-1]
