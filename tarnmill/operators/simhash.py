@@ -73,22 +73,27 @@ def near_pairs(prints: DataFrame, most: int = 6) -> DataFrame:
 def greedy_groups(prints: DataFrame, most: int = 6) -> DataFrame:
     """id, group_id of fingerprints (id, fingerprint), by seeds in order of id: whoever is in no group yet founds one and takes all
     that are ``most`` apart or nearer and free. In rounds: whoever has no undecided neighbour before it is a seed, and its
-    neighbours are not; at last each of those joins its first seed. Equal fingerprints go together."""
+    neighbours are not; at last each of those joins its first seed. Equal fingerprints go together. Joins are by sorting, as all
+    sides grow with the table."""
+    prints = stored(prints, "greedy")  # read four times
     order = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("o")), "greedy")
-    pairs = near_pairs(prints, most).select("a", "b")
+    pairs = stored(near_pairs(prints, most).select("a", "b"), "greedy")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    at = lambda side, name: order.select(F.col("fingerprint").alias(side), F.col("o").alias(name))
+    at = lambda side, name: order.select(F.col("fingerprint").alias(side), F.col("o").alias(name)).hint("merge")
+    among = lambda d, name: d.select(F.col("o").alias(name)).hint("merge")
     e = stored(both.join(at("a", "oa"), "a").join(at("b", "ob"), "b").select("oa", "ob"), "greedy")  # each by its first id
+    discard(pairs)
     left, seeds = stored(e.select(F.col("oa").alias("o")).distinct(), "greedy"), None
     while not left.isEmpty():
-        open_ = e.join(left.select(F.col("o").alias("oa")), "oa", "left_semi").join(left.select(F.col("o").alias("ob")), "ob", "left_semi")
-        new = stored(left.join(open_.where(F.col("ob") < F.col("oa")).select(F.col("oa").alias("o")), "o", "left_anti"), "greedy")
-        taken = e.join(new.select(F.col("o").alias("oa")), "oa", "left_semi").select(F.col("ob").alias("o"))
-        before, left = left, stored(left.join(new, "o", "left_anti").join(taken, "o", "left_anti"), "greedy")
+        open_ = e.join(among(left, "oa"), "oa", "left_semi").join(among(left, "ob"), "ob", "left_semi")
+        new = stored(left.join(open_.where(F.col("ob") < F.col("oa")).select(F.col("oa").alias("o")).hint("merge"), "o", "left_anti"), "greedy")
+        taken = e.join(among(new, "oa"), "oa", "left_semi").select(F.col("ob").alias("o"))
+        before, left = left, stored(left.join(new.hint("merge"), "o", "left_anti").join(taken.hint("merge"), "o", "left_anti"), "greedy")
         discard(before)
         seeds = new if seeds is None else seeds.unionByName(new)
     if seeds is None:
-        return prints.join(order, "fingerprint").select("id", F.col("o").alias("group_id"))
+        return prints.join(order.hint("merge"), "fingerprint").select("id", F.col("o").alias("group_id"))
     s = seeds.distinct()
-    first = e.join(s.select(F.col("o").alias("ob")), "ob", "left_semi").groupBy("oa").agg(F.min("ob").alias("seed")).join(s.select(F.col("o").alias("oa")), "oa", "left_anti")
-    return prints.join(order, "fingerprint").join(first, F.col("o") == F.col("oa"), "left").select("id", F.coalesce("seed", "o").alias("group_id"))
+    first = e.join(among(s, "ob"), "ob", "left_semi").groupBy("oa").agg(F.min("ob").alias("seed")).join(among(s, "oa"), "oa", "left_anti")
+    group = order.join(first.hint("merge"), F.col("o") == F.col("oa"), "left").select(F.col("fingerprint").alias("_f"), F.coalesce("seed", "o").alias("group_id"))
+    return prints.join(group.hint("merge"), F.col("fingerprint") == F.col("_f")).select("id", "group_id")

@@ -66,3 +66,17 @@ def test_groups_hash_texts_once(spark, tmp_path, plans):
     of = {x.id: x.group_id for x in rows}
     assert len(rows) == 3 and of[0] == of[1] != of[2]
     assert "ArrowEvalPython" not in got[-1] and "Broadcast" not in got[-1]
+
+
+def test_greedy_broadcasts_nothing(spark, plans):
+    p, some = prints(spark)
+    got, seen = plans
+    first, group = {}, {}
+    for i, x in enumerate(some):
+        first.setdefault(x, i)
+    for x, i in sorted(first.items(), key=lambda kv: kv[1]):
+        if x not in group:
+            group |= {y: i for y in first if y not in group and (x ^ y).bit_count() <= 6}
+    found = {x.id: x.group_id for x in seen(S.greedy_groups(p)).collect()}
+    assert found == {i: group[x] for i, x in enumerate(some)}
+    assert not any("Broadcast" in x for x in got)
