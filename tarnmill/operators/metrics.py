@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
 from ..functions import text as T
 from ..functions import urls as U
-from .graph import components, cosine
+from .graph import components
 from .pages import share
 
 
@@ -160,23 +163,72 @@ def next_delay(delay: Column, status: Column, response_ms: Column, mean_ms: Colu
     return F.least(F.lit(most), new)
 
 
+#: Rows of a block of vectors, blocks of smaller tables (one up to FEW rows), rows that are multiplied at once, and what single
+#: precision may be off.
+BLOCK, LEAST_BLOCKS, FEW, STRIP, OFF = 32_768, 5, 2_000, 512, 1e-4
+
+
+def _alike(least: float, k: int | None):
+    """Of the table of two blocks: pairs of ids a < b from either, or within the one, of rounded cosine ``least`` or more; the k
+    first if k is set. Products in single precision leave out what is surely less; the rest are summed as SQL sums them."""
+
+    def order(a, b, s):
+        at = np.lexsort((b, a, -s))[:k]
+        return a[at], b[at], s[at]
+
+    def run(key, t):
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        norm = np.zeros(len(ids))
+        for x in v.T:
+            norm += x * x
+        unit = (v / np.sqrt(norm)[:, None]).astype(np.float32)
+        left = np.flatnonzero(side == key[0].as_py())
+        right = left if key[0] == key[1] else np.flatnonzero(side == key[1].as_py())
+        other, found = np.ascontiguousarray(unit[right].T), [(np.empty(0, np.int64),) * 3]
+        for at in range(0, len(left), STRIP):
+            i, j = np.nonzero(unit[left[at : at + STRIP]] @ other >= least - OFF)
+            i, j = left[i + at], right[j]
+            if key[0] == key[1]:
+                i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+            for part in range(0, len(i), 1 << 18):
+                p, q = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
+                dot = np.zeros(len(p))
+                for x in v.T:
+                    dot += x[p] * x[q]
+                c = dot / np.sqrt(norm[p] * norm[q])
+                s = (np.sign(c) * np.floor(np.abs(c) * 1e6 + 0.5)).astype(np.int64)
+                on = s / 1e6 >= least
+                a, b = ids[p[on]], ids[q[on]]
+                found.append((np.minimum(a, b), np.maximum(a, b), s[on]))
+                if k is not None:
+                    found = [order(*map(np.concatenate, zip(*found, strict=True)))]
+        a, b, s = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"a": a, "b": b, "similarity": s / 1e6})
+
+    return run
+
+
 def similar_pairs(v: DataFrame, least: float = 0.9, k: int | None = 100) -> DataFrame:
-    """v (id, v): pairs a < b of cosine ``least`` or more. Unit vectors that alike differ by at most sqrt(2 - 2 least) in every
-    coordinate, so both fall into the same or neighbouring cells of that width along two coordinates; only those are compared."""
-    width = (2 - 2 * least) ** 0.5
-    unit = v.withColumn("_n", F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))).where(F.col("_n") > 0).select("id", F.transform("v", lambda x: x / F.col("_n")).alias("u"))
-    cell = lambda i: F.floor(F.get(F.col("u"), i) / width)
-    a = unit.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.explode(F.sequence(cell(0) - 1, cell(0) + 1)).alias("x"), cell(1).alias("y1")).select("a", "ua", "x", F.explode(F.sequence(F.col("y1") - 1, F.col("y1") + 1)).alias("y"))
-    b = unit.select(F.col("id").alias("b"), F.col("u").alias("ub"), cell(0).alias("_x"), cell(1).alias("_y"))
-    pairs = a.join(b, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(cosine(F.col("ua"), F.col("ub")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    """v (id, v): pairs a < b of cosine ``least`` or more, for ``least`` over 0. Vectors are dealt to blocks by their ids, and each
+    two blocks are one task's matrix product; a row is copied once per block. Vectors that are zero, or hold a null, take no part."""
+    rows = v.withColumn("_n", F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)).where((F.col("_n") > 0) & (F.col("_n") < math.inf)).select("id", "v")
+    n = v.count()
+    blocks = max(-(-n // BLOCK), LEAST_BLOCKS if n > FEW else 1)
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    to = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("side")).alias("i"), F.greatest(o, F.col("side")).alias("j"))))
+    tasks = dealt.select("id", "v", "side", to.alias("x")).select("id", "v", "side", "x.i", "x.j").repartition(4 * blocks * (blocks + 1) // 2, "i", "j")
+    pairs = tasks.groupBy("i", "j").applyInArrow(_alike(least, k), "a long, b long, similarity double")
     return pairs if k is None else pairs.orderBy(F.desc("similarity"), "a", "b").limit(k)
 
 
 def similar_groups(pairs: DataFrame, k: int = 50) -> DataFrame:
     """Components of similar pairs: size and mean similarity over all member pairs, those under the limit counting 0."""
+    pairs = stored(pairs, "similar")  # read twice
     c = components(pairs.select("a", "b"))
     size = c.groupBy(F.col("root").alias("group_id")).agg(F.count("*").alias("size"))
-    sums = pairs.join(c, F.col("a") == F.col("id")).groupBy(F.col("root").alias("_r")).agg(F.sum("similarity").alias("s"))
+    parts = pairs.groupBy("a").agg(F.sum(F.round(F.col("similarity") * 1e6).cast("long")).alias("_s"))  # whole millionths: any order gives one sum
+    sums = parts.join(c, F.col("a") == F.col("id")).groupBy(F.col("root").alias("_r")).agg((F.sum("_s") / 1e6).alias("s"))
     return size.join(sums, F.col("group_id") == F.col("_r")).select("group_id", "size", F.round(F.col("s") / (F.col("size") * (F.col("size") - 1) / 2), 4).alias("mean_similarity")).orderBy(F.desc("size"), "group_id").limit(k)
 
 
